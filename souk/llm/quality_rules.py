@@ -33,10 +33,10 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, the columns of ``keep`` and a column for each statistic."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """id, the columns of ``keep`` (name: column of ``docs``) and a column for each statistic."""
     own = ["_text", "_words", "_lines", "_n", "_w"]
-    out = docs.select(*keep, F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    out = docs.select(*(c.alias(name) for name, c in (keep or {}).items()), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     out = out.withColumns({"_words": F.split(F.trim("_text"), r"\s+"), "_lines": F.split("_text", "\n"), "_n": F.length("_text").cast("double")})
     out = out.withColumn("_w", F.size("_words").cast("double"))
     count = lambda c: F.col("_n") - F.length(c)
@@ -151,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     their statistics reach the driver. Rows are picked by the hash of their ids."""
     known = labels.groupBy(id_col).agg(F.max(label).alias("_label")).filter("_label is not null")
     rows = docs.select(id_col, text_col).join(known, id_col)
-    picked = statistics(rows, id_col, text_col, keep=("_label",)).withColumn("_order", F.xxhash64(id_col)).orderBy("_order", *FEATURES).limit(sample).select("_label", *FEATURES).toPandas()
+    picked = statistics(rows, id_col, text_col, keep={"_label": F.col("_label")}).withColumn("_order", F.xxhash64(id_col)).orderBy("_order", *FEATURES).limit(sample).select("_label", *FEATURES).toPandas()
     return learn(picked[FEATURES].to_numpy(np.float64), picked["_label"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """id, the columns of ``keep``, score (0 to 1)."""
-    return statistics(docs, id_col, text_col, keep).select(id_col, *keep, model.column().alias("score"))
+    return statistics(docs, id_col, text_col, keep).select(id_col, *(keep or {}), model.column().alias("score"))

@@ -7,7 +7,7 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import byte_bpe, chat, license_scan, packing, quality_rules, token_files, toxic_crf
+from souk.llm import bag_minhash, byte_bpe, chat, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf
 from souk.llm.common import doc_crc, table
 
 
@@ -26,6 +26,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256"))
 
 
+def op4_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its class, and whether it is the one that stays."""
+    return bag_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -73,6 +82,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = doc_crc() % 4 == 2
@@ -80,5 +93,11 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op6_chat_format, op7_quality_rules, op8_packing, op10_toxic_crf)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, pipeline)}
 ORACLE = {"op6_chat_format": OP6_SQL}

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from souk.llm.common import mix, slices, text_of, words_of
+from souk.llm.common import mix, slices, text_buffer, text_of, words_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id), and of them for the field.
 SAMPLE, FIELD_SAMPLE = 20_000, 2_500
@@ -68,13 +69,12 @@ class Lattice:
         self.rows = np.repeat(np.arange(len(owner)), self.length)
         self.columns = np.arange(len(self.rows)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
-    def run(self, energy: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Marginals of label 1; those of the four label pairs by word (pair of the
-        word before and itself; the first word of a text has none); log likelihood's
-        partition part isn't needed, so 0."""
+    def run(self, energy: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of label 1; those of the four label pairs by word (the word
+        before and itself; the first word of a text has none)."""
         n, width = len(self.start), self.width
         if not n:
-            return np.zeros(0), np.zeros((0, 4)), 0.0
+            return np.zeros(0), np.zeros((0, 4))
         e = np.ones((width, n))
         e[self.columns, self.rows] = np.exp(np.clip(energy, -30, 30))
         on = np.arange(width)[:, None] < self.length
@@ -124,7 +124,7 @@ class Lattice:
         first = (self.columns == 0) & begin[self.rows]
         own = pairs[:, self.columns, self.rows].T.copy()
         own[first] = 0
-        return marginal[self.columns, self.rows], own, 0.0
+        return marginal[self.columns, self.rows], own
 
 
 @dataclass
@@ -177,7 +177,7 @@ def fit_field(slots: np.ndarray, first: np.ndarray, tags: np.ndarray) -> tuple[n
     g_w, g_b, g_t = np.full(SLOTS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     used = np.unique(slots)
     for _ in range(PASSES):
-        marginal, pairs, _ = lattice.run(weights[slots].sum(axis=1) + bias, trans)
+        marginal, pairs = lattice.run(weights[slots].sum(axis=1) + bias, trans)
         miss = tags - marginal
         grad = sum(np.bincount(slots[:, i], weights=miss, minlength=SLOTS) for i in range(slots.shape[1])) - 0.01 * weights
         g_w[used] += grad[used] ** 2
@@ -235,18 +235,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return learn(picked["_text"].combine_chunks(), picked["_label"].to_numpy())
 
 
-def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", level: float = 0.5) -> DataFrame:
-    """A row for each row of ``docs``: id, score (0 to 1), n_words, spans (array of
+def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", level: float = 0.5, keep: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each row of ``docs``: id, the columns of ``keep`` (name: column
+    of ``docs``), score (0 to 1), n_words, spans (array of
     start and end in characters, score: runs of words whose marginal is at least
     ``level``). A narrow map over whole texts."""
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    carried = list(keep or {})
+    source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *(c.alias(name) for name, c in (keep or {}).items()))
+    out = T.StructType([f for f in source.schema if f.name != "_text"]).add("score", "double").add("n_words", "long").add("spans", "array<struct<start:long,end:long,score:double>>")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: SLOTS weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, limit=SLICE):
-            slots, first, words = features(batch.column("text"))
+        for batch in slices(batches, "_text", SLICE):
+            slots, first, words = features(batch.column("_text"))
             marginals = model.marginals(slots, first)
             hit = np.flatnonzero(marginals >= level)
             doc = np.searchsorted(first, hit, "right") - 1
@@ -257,24 +259,13 @@ def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
                 opened = np.flatnonzero(new)
                 closed = np.append(opened[1:], len(hit)) - 1
                 # a character begins at each byte that doesn't continue one; separators are folded to 0
-                raw = _bytes(batch.column("text"))
+                raw, offsets = text_buffer(batch.column("_text"))
                 chars = np.cumsum((raw & 0xC0) != 0x80) - 1
-                bases = chars[np.minimum(_starts(batch.column("text")), len(raw) - 1)]
+                bases = chars[np.minimum(offsets[:-1], len(raw) - 1)]
                 best = np.maximum.reduceat(marginals[hit], opened)
                 for i, a, b, s in zip(doc[opened].tolist(), words.starts[hit[opened]], words.ends[hit[closed]], best.tolist(), strict=True):
                     spans[i].append({"start": int(chars[a] - bases[i]), "end": int(chars[b - 1] - bases[i] + 1), "score": s})
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(marginals, first)), pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))], names=["id", "score", "n_words", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(batch.column(c) for c in carried), pa.array(model.scores(marginals, first)), pa.array(np.diff(first), pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))], names=["_id", *carried, "score", "n_words", "spans"])
 
-    return source.mapInArrow(work, f"id {kind}, score double, n_words long, spans array<struct<start:long,end:long,score:double>>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(work, out).withColumnRenamed("_id", id_col)
 
-
-def _bytes(texts: pa.Array) -> np.ndarray:
-    from souk.llm.common import text_buffer
-
-    return text_buffer(texts)[0]
-
-
-def _starts(texts: pa.Array) -> np.ndarray:
-    from souk.llm.common import text_buffer
-
-    return text_buffer(texts)[1][:-1]
