@@ -242,7 +242,7 @@ def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     ``level``). A narrow map over whole texts."""
     carried = list(keep or {})
     source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *(c.alias(name) for name, c in (keep or {}).items()))
-    out = T.StructType([f for f in source.schema if f.name != "_text"]).add("score", "double").add("n_words", "long").add("spans", "array<struct<start:long,end:long,score:double>>")
+    out = T.StructType([f for f in source.schema if f.name != "_text"]).add("score", "double").add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("score", "double")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: SLOTS weights
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
