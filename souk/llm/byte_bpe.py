@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import mix, slices, text_of
-from souk.llm.token_cache import ByteLevelCache
+from souk.llm.token_cache import Encoder, shared_encoder
 
 NONE = np.int32(2**31 - 1)
 LONG = 512
@@ -157,6 +158,22 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def unit_encoder(codec: Codec, pattern: str) -> Encoder:
+    """Units are cut into pieces by the pattern, and the pieces of all units
+    encoded together."""
+    cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
+
+    def encode_units(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [cut(u) for u in units]
+        ids = codec.encode_pieces([p.encode() for u in pieces for p in u])
+        sizes = np.array([len(x) for x in ids], np.int64)
+        bounds = np.cumsum([0, *(len(u) for u in pieces)])
+        totals = np.concatenate([[0], np.cumsum(sizes)])
+        return (np.concatenate(ids) if ids else np.zeros(0, np.int32)).astype(np.uint32), np.diff(totals[bounds])
+
+    return Encoder(encode_units, lambda text: encode_units([text])[0])
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, ids (binary, little-endian unsigned
     32-bit). A narrow map."""
@@ -164,10 +181,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     kind = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.from_file(ranks_path)
-        cache = ByteLevelCache(pattern, lambda pieces: [x.astype("<u4").tobytes() for x in codec.encode_pieces([p.encode() for p in pieces])])
+        encoder = shared_encoder(("byte_bpe", ranks_path, pattern), lambda: unit_encoder(Codec.from_file(ranks_path), pattern))
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cache.encode(batch.column("text").to_pylist()), pa.binary())], names=["id", "ids"])
+            ids, starts = encoder.encode(batch.column("text"))
+            data = ids.astype("<u4").tobytes()
+            binary = [data[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(binary, pa.binary())], names=["id", "ids"])
 
     return source.mapInArrow(work, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
 

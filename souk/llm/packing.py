@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm.common import slices, text_of, written
-from souk.llm.token_cache import WordCache, from_library
+from souk.llm.token_cache import library_encoder
 
 SIZE = 4096
 OPEN = 64
@@ -107,8 +107,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, size: int = SIZ
     kinds = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_REST}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, whole = from_library(vocabulary_path)
-        cache = WordCache(encode, whole=whole, special=special)
+        encoder = library_encoder(vocabulary_path, special, words=True)
         windows = Windows(size, n_open)
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 32
@@ -124,8 +123,10 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, size: int = SIZ
         for batch in slices(batches):
             kind[0] = batch.column("doc_id").type
             made: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text").to_pylist()), strict=True):
-                ids += np.array([end_id], "<u4").tobytes()
+            encoded, starts = encoder.encode(batch.column("text"))
+            data, end = encoded.astype("<u4").tobytes(), np.array([end_id], "<u4").tobytes()
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                ids = data[4 * starts[i] : 4 * starts[i + 1]] + end
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)

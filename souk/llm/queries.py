@@ -16,7 +16,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = token_files.round_trip(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), tokens.PATTERN)
+    back = token_files.round_trip(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

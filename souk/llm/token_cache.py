@@ -1,131 +1,235 @@
-"""Encoding of whole texts through a cache of their parts.
+"""Encoding of whole texts through a table of their units.
 
-A BPE tokenizer treats each piece of a text by itself, so the ids of a piece
-are looked up once for each Python worker. Texts are first cut before blanks
-that stand directly before other characters - always ends of pieces - and these
-chunks are cached too. What the cache lacks is encoded in one batch.
+A BPE tokenizer treats each piece of a text by itself. Texts are cut into units
+at places that are always ends of pieces; a unit's ids are looked up by its hash
+in a table that a Python worker keeps from task to task, and only units that the
+table lacks are encoded. Cutting, hashing, lookup and the gathering of ids are
+vectorised over the bytes of many texts.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 
-#: Blanks before white space or the end, where a chunk isn't made of whole pieces.
-_IRREGULAR = re.compile(r" (?:\s|\Z)")
-#: Characters that Python takes for white space and others don't.
-_UNUSUAL = re.compile("[\x1c-\x1f\x85᠎]")
-
-
-def ids_bytes(ids: Iterable[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    return np.fromiter(ids, "<u4").tobytes()
-
-
-class PieceCache:
-    """``encode(texts)``: the ids of each text as little-endian 32-bit integers."""
-
-    #: Entries of a cache before it is emptied; bounds a worker's memory.
-    LIMIT = 400_000
-
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], whole: Callable[[str], bytes] | None = None, special: tuple[str, ...] = ()):
-        """``whole`` encodes the texts in which a string of ``special`` or unusual
-        white space occurs, without the cache."""
-        self.encode_pieces, self.whole, self.special = encode_pieces, whole, special
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def keys_of(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def pieces_of(self, key: str) -> list[str]:
-        raise NotImplementedError
-
-    def apart(self, text: str) -> bool:
-        return self.whole is not None and (any(s in text for s in self.special) or _UNUSUAL.search(text) is not None)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        apart = {i for i, t in enumerate(texts) if self.apart(t)}
-        parts = [[] if i in apart else self.keys_of(t) for i, t in enumerate(texts)]
-        if len(self.chunks) > self.LIMIT:
-            self.chunks.clear()
-        missing = set().union(*parts).difference(self.chunks)
-        if missing:
-            self.learn(missing)
-        get = self.chunks.__getitem__
-        return [self.whole(texts[i]) if i in apart else b"".join(map(get, p)) for i, p in enumerate(parts)]
-
-    def learn(self, keys: set[str]) -> None:
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
-        cut = {k: self.pieces_of(k) for k in keys}
-        new = sorted(set().union(*cut.values()).difference(self.pieces))
-        if new:
-            self.pieces.update(zip(new, self.encode_pieces(new), strict=True))
-        get = self.pieces.__getitem__
-        self.chunks.update((k, b"".join(map(get, p))) for k, p in cut.items())
-
-
-class ByteLevelCache(PieceCache):
-    """For byte-level BPE with the pattern of ``pattern``. A key is a chunk that
-    follows a blank, or, with a blank at its end, text taken as it is."""
-
-    def __init__(self, pattern: str, *args, **more):
-        super().__init__(*args, **more)
-        self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
-
-    def keys_of(self, text: str) -> list[str]:
-        if _IRREGULAR.search(text) or _UNUSUAL.search(text):
-            return [p + " " for p in self.cut(text)]
-        keys = text.split(" ")
-        if keys[0]:
-            keys[0] += " "
-            return keys
-        return keys[1:]
-
-    def pieces_of(self, key: str) -> list[str]:
-        return self.cut(key[:-1] if key.endswith(" ") else " " + key)
-
-
-class WordCache(PieceCache):
-    """For BPE on lower-cased words, white space dropped: chunks are what stands
-    between white space."""
-
-    #: As the vocabulary file splits, before lower-casing.
-    cut = staticmethod(regex.compile(r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall)
-
-    def keys_of(self, text: str) -> list[str]:
-        return text.split()
+from souk.llm.common import mix, segment_hash, stream, text_buffer
+
+_L, _D, _P, _U, _S, _W = range(6)  # letters, digits, other ASCII, not ASCII, blank, other white space
+_CLASS = np.array([_S if c == 32 else _W if 9 <= c <= 13 else _D if 48 <= c <= 57 else _L if 65 <= c <= 90 or 97 <= c <= 122 else _U if c >= 128 else _P for c in range(256)], np.uint8)
+#: Whether two neighbours that aren't white space are of different pieces; with what isn't ASCII one can't tell.
+_APART = np.zeros((6, 6), bool)
+for _a, _b in ((_L, _P), (_L, _D), (_D, _L), (_D, _P), (_P, _D), (_P, _L)):
+    _APART[_a, _b] = True
+_BYTE = stream(23, 256)
+#: White space and controls that are not in the classes above.
+_UNUSUAL = regex.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
+
+
+class UnitTable:
+    """hash -> ids, in numpy arrays with open addressing; emptied when full."""
+
+    LIMIT = 3_000_000
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.size, self.count, self.used = 1 << 16, 0, 0
+        self.keys = np.zeros(self.size, np.uint64)
+        self.starts, self.lengths = np.zeros(self.size, np.int64), np.zeros(self.size, np.int32)
+        self.ids = np.zeros(1 << 18, np.uint32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key; -1 where it is missing. No key is 0."""
+        mask = np.uint64(self.size - 1)
+        at = (keys >> np.uint64(20)) & mask
+        seen = self.keys[at]
+        out = np.where(seen == keys, at.astype(np.int64), -1)
+        left = np.flatnonzero((seen != keys) & (seen != 0))
+        while len(left):
+            at[left] = (at[left] + np.uint64(1)) & mask
+            seen = self.keys[at[left]]
+            hit = seen == keys[left]
+            out[left[hit]] = at[left[hit]].astype(np.int64)
+            left = left[~hit & (seen != 0)]
+        return out
+
+    def insert(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        while self.size < 2 * (self.count + len(keys)):
+            old = self.keys != 0
+            kept = self.keys[old], self.starts[old], self.lengths[old]
+            self.size *= 2
+            self.keys = np.zeros(self.size, np.uint64)
+            self.starts, self.lengths = np.zeros(self.size, np.int64), np.zeros(self.size, np.int32)
+            self._place(*kept)
+        self._place(keys, starts, lengths)
+        self.count += len(keys)
+
+    def _place(self, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        mask = np.uint64(self.size - 1)
+        at, left = (keys >> np.uint64(20)) & mask, np.arange(len(keys))
+        while len(left):  # of those that want a free slot one takes it, the others go on
+            free = left[self.keys[at[left]] == 0]
+            self.keys[at[free]] = keys[free]
+            won = self.keys[at[left]] == keys[left]
+            got = left[won]
+            self.starts[at[got]], self.lengths[at[got]] = starts[got], lengths[got]
+            left = left[~won]
+            at[left] = (at[left] + np.uint64(1)) & mask
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.insert(keys, self.used + np.cumsum(lengths) - lengths, lengths.astype(np.int32))
+        self.used += len(ids)
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slots one after another, number of ids of each)."""
+        lengths = self.lengths[slots].astype(np.int64)
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.starts[slots] - ends + lengths, lengths) + np.arange(total)], lengths
+
+
+class Encoder:
+    """``encode_units``: the ids of each unit (all in one array) and how many each
+    has. ``whole``: the ids of a text, for texts with one of the strings of
+    ``special`` or unusual white space. ``words``: white space ends units and
+    belongs to none, case doesn't count, and each digit is a unit; else a blank
+    belongs to the unit after it."""
+
+    def __init__(self, encode_units: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], special: tuple[str, ...] = (), words: bool = False):
+        self.encode_units, self.whole, self.special, self.words = encode_units, whole, [s.encode() for s in special], words
+        self.table = UnitTable()
+        folded = np.arange(256, dtype=np.uint8)
+        if words:
+            folded[65:91] += 32
+        self.folded = folded
+
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where units begin."""
+        c = _CLASS[raw]
+        before = np.concatenate([[_W], c[:-1]]).astype(np.uint8)
+        white, white_before = c >= _S, before >= _S
+        cut = _APART[before, c]
+        quote = np.flatnonzero(raw[:-1] == 39) + 1
+        cut[quote] &= c[quote] != _L  # a quote and the letters after it may be one piece
+        if self.words:
+            cut |= white_before | (c == _D)
+            cut &= ~white
+            begins = offsets[:-1][offsets[:-1] < len(raw)]
+            cut[begins] = ~white[begins]
+        else:
+            after_white = np.concatenate([white[1:], [True]])
+            cut |= white & ~white_before
+            cut |= white & white_before & ~after_white  # the last of several goes apart, a blank to what follows
+            cut |= ~white & (before == _W)
+            last = offsets[1:][offsets[1:] > 0] - 1  # what follows is of another text
+            two = last[(last > 0) & white[last] & white_before[last]]
+            cut[two] = False
+            cut[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        return cut
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's begin and the end)."""
+        raw, offsets = text_buffer(texts)
+        n = len(offsets) - 1
+        apart = [i for i in range(n) if self._apart(raw, texts, offsets, i)] if self._any_apart(raw) else []
+        folded = self.folded[raw]
+        begins = np.flatnonzero(self.cuts(folded, offsets))
+        ends = np.append(begins[1:], len(raw))
+        if self.words:  # a unit ends where white space begins
+            white = np.concatenate([_CLASS[raw] >= _S, [True]])
+            stops = np.flatnonzero(white | np.isin(np.arange(len(raw) + 1), offsets))
+            ends = np.minimum(ends, stops[np.searchsorted(stops, begins, "right")]) if len(begins) else ends
+        keys = segment_hash(_BYTE[folded], begins, ends) | np.uint64(1)
+        owner_first = np.searchsorted(begins, offsets)
+        if apart:
+            skip = np.zeros(len(begins), bool)
+            for i in apart:
+                skip[owner_first[i] : owner_first[i + 1]] = True
+        else:
+            skip = None
+        slots = self._learn(folded, begins, ends, keys, skip)
+        if skip is not None:
+            kept = np.flatnonzero(~skip)
+            ids, some = self.table.gather(slots[kept])
+            lengths = np.zeros(len(begins), np.int64)
+            lengths[kept] = some
+        else:
+            ids, lengths = self.table.gather(slots)
+        starts = np.concatenate([[0], np.cumsum(lengths)])[owner_first]
+        if not apart:
+            return ids, starts
+        parts = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        for i in apart:
+            parts[i] = self.whole(texts[i].as_py())
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _any_apart(self, raw: np.ndarray) -> bool:
+        data = raw.tobytes()
+        if any(s in data for s in self.special):
+            return True
+        return not self.words and _UNUSUAL.search(data.decode("utf-8", "replace")) is not None
+
+    def _apart(self, raw: np.ndarray, texts: pa.Array, offsets: np.ndarray, i: int) -> bool:
+        data = raw[offsets[i] : offsets[i + 1]].tobytes()
+        return any(s in data for s in self.special) or (not self.words and _UNUSUAL.search(data.decode("utf-8", "replace")) is not None)
+
+    def _learn(self, folded: np.ndarray, begins: np.ndarray, ends: np.ndarray, keys: np.ndarray, skip: np.ndarray | None) -> np.ndarray:
+        slots = self.table.slots(keys)
+        missing = slots < 0
+        if skip is not None:
+            missing &= ~skip
+        if not missing.any():
+            return slots
+        if self.table.count > UnitTable.LIMIT:
+            self.table.clear()
+            missing = ~skip if skip is not None else np.ones(len(keys), bool)
+        new, first = np.unique(keys[missing], return_index=True)
+        at = np.flatnonzero(missing)[first]
+        data = folded.tobytes()
+        units = [data[a:b].decode() for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)]
+        self.table.add(new, *self.encode_units(units))
+        return self.table.slots(keys)
+
+
+def library_units(path: str) -> tuple[Callable, Callable]:
+    """(encode_units, whole) of a vocabulary file of the tokenizers library."""
+    import os
 
-    def pieces_of(self, key: str) -> list[str]:
-        if key.isascii():
-            return self.cut(key.lower())
-        # composed and without the one letter that two follow from in lower case, a chunk splits alike before and after normalisation
-        return self.cut(key) if regex.fullmatch(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{N}\p{P}\p{S}]*", key) and _composed(key) and "İ" not in key else [key]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(path)
 
-def _composed(text: str) -> bool:
-    import unicodedata
+    def encode_units(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
 
-    return unicodedata.is_normalized("NFC", text)
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    return encode_units, whole
 
-def from_library(path: str):
-    """(encode_pieces, whole) of a vocabulary file of the tokenizers library."""
-    import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+_workers: dict[tuple, Encoder] = {}
 
-    tokenizer = Tokenizer.from_file(path)
 
-    def encode_pieces(pieces: list[str]) -> list[bytes]:
-        return [ids_bytes(e.ids) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+def library_encoder(path: str, special: tuple[str, ...], words: bool) -> Encoder:
+    """One for each Python worker, which Spark reuses from task to task."""
+    key = (path, special, words)
+    if key not in _workers:
+        _workers[key] = Encoder(*library_units(path), special=special, words=words)
+    return _workers[key]
 
-    def whole(text: str) -> bytes:
-        return ids_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
 
-    return encode_pieces, whole
+def shared_encoder(key: tuple, make: Callable[[], Encoder]) -> Encoder:
+    if key not in _workers:
+        _workers[key] = make()
+    return _workers[key]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import scratch, slices, text_of
-from souk.llm.token_cache import ByteLevelCache, from_library
+from souk.llm.token_cache import library_encoder
 
 MAGIC = b"SOUKTOK1"
 BLOCK = 4096
@@ -44,11 +44,15 @@ def width(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids, ``bits`` each, least significant bit first."""
+    if bits in (8, 16, 32):  # the same bytes
+        return ids.astype(f"<u{bits // 8}").tobytes()
     planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if bits in (8, 16, 32):
+        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     planes = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     padded = np.zeros((n, 32), np.uint8)
     padded[:, :bits] = planes
@@ -119,7 +123,7 @@ class Reader:
         return np.append(self.starts[1:], self.n_tokens)
 
 
-def write(docs: DataFrame, out: str, vocabulary_path: str, pattern: str, end_id: int = 2, vocabulary: int = 50_257, special: tuple[str, ...] = ("<|endoftext|>",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, out: str, vocabulary_path: str, end_id: int = 2, vocabulary: int = 50_257, special: tuple[str, ...] = ("<|endoftext|>",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes ``docs`` into files under ``out`` (a folder that all machines
     see); returns the manifest: part, piece, file, n_docs, n_tokens, base (tokens
     of all files before).
@@ -131,8 +135,7 @@ def write(docs: DataFrame, out: str, vocabulary_path: str, pattern: str, end_id:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, whole = from_library(vocabulary_path)
-        cache = ByteLevelCache(pattern, pieces, whole=whole, special=special)
+        encoder = library_encoder(vocabulary_path, special, words=False)
         fs, folder = pyarrow.fs.FileSystem.from_uri(out)
         context = TaskContext.get()
         part, attempt = (context.partitionId(), context.taskAttemptId()) if context else (0, uuid.uuid4().int)
@@ -146,12 +149,12 @@ def write(docs: DataFrame, out: str, vocabulary_path: str, pattern: str, end_id:
             made.append((part, len(made), f"part-{part:08d}-{len(made):05d}.tok", len(writer.docs), writer.n_tokens))
 
         for batch in slices(batches):
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, encoded in zip(ids, cache.encode(batch.column("text").to_pylist()), strict=True):
+            ids, starts = encoder.encode(batch.column("text"))
+            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 if writer is None:
                     fs.create_dir(folder)
                     writer = Writer(fs.open_output_stream(f"{folder}/_{part}-{attempt}"), bits)
-                writer.add(doc_id, np.append(np.frombuffer(encoded, "<u4"), np.uint32(end_id)))
+                writer.add(doc_id, np.append(ids[starts[i] : starts[i + 1]], np.uint32(end_id)))
                 if writer.n_tokens >= FILE_TOKENS:
                     close()
                     writer = None
@@ -190,9 +193,9 @@ def read(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     return files.mapInArrow(work, "file string, doc_id long, within long, ids binary").join(manifest.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
-def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, **more) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary_path: str, **more) -> DataFrame:
     out = scratch(docs.sparkSession, "token-files")
-    manifest = write(docs, out, vocabulary_path, pattern, **more)
+    manifest = write(docs, out, vocabulary_path, **more)
     if manifest.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
     return read(docs.sparkSession, out, manifest)
