@@ -50,6 +50,18 @@ def doc_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, id_col: str = "doc_id") -> DataFrame:
+    """At most ``n`` labelled ids of ``docs``, picked by their hash, and the rows of
+    ``docs`` with them: its columns and ``_label``.
+
+    Ids are picked from ids alone. What is broadcast has at most ``n`` rows, so
+    the texts aren't shuffled.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_label")).filter("_label is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
+    picked = docs.select(F.col(id_col).alias("_id")).distinct().join(known, "_id").orderBy(F.xxhash64("_id"), "_id").limit(n)
+    return docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).drop("_id")
+
+
 def text_of(column: str = "text"):
     """The text as string, empty if null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import text_of
+from souk.llm.common import labelled_sample, text_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id).
 SAMPLE = 20_000
@@ -149,8 +149,7 @@ def learn(stats: np.ndarray, labels: np.ndarray) -> RuleModel:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Learns from the labelled rows of ``docs``, at most ``sample`` of them; only
     their statistics reach the driver. Rows are picked by the hash of their ids."""
-    known = labels.groupBy(id_col).agg(F.max(label).alias("_label")).filter("_label is not null")
-    rows = docs.select(id_col, text_col).join(known, id_col)
+    rows = labelled_sample(docs, labels, label, sample, id_col)
     picked = statistics(rows, id_col, text_col, keep={"_label": F.col("_label")}).withColumn("_order", F.xxhash64(id_col)).orderBy("_order", *FEATURES).limit(sample).select("_label", *FEATURES).toPandas()
     return learn(picked[FEATURES].to_numpy(np.float64), picked["_label"].to_numpy(np.float64))
 

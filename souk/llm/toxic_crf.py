@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from souk.llm.common import mix, slices, text_buffer, text_of, words_of
+from souk.llm.common import labelled_sample, mix, slices, text_buffer, text_of, words_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id), and of them for the field.
 SAMPLE, FIELD_SAMPLE = 20_000, 2_500
@@ -227,8 +227,7 @@ def learn(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Learns from the labelled rows of ``docs``, at most ``sample`` of them, picked
     by the hash of their ids; equal texts count once."""
-    known = labels.groupBy(id_col).agg(F.max(label).alias("_label")).filter("_label is not null")
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("_text")).join(known, id_col)
+    rows = labelled_sample(docs, labels, label, sample, id_col).select(F.col(id_col), text_of(text_col).alias("_text"), "_label")
     picked = rows.orderBy(F.xxhash64(id_col), "_text").limit(sample).select("_text", "_label").toArrow()
     _, once = np.unique(np.array([hash(x.as_buffer().to_pybytes() if x.as_buffer() else b"") for x in picked["_text"]], np.int64), return_index=True)
     picked = picked.take(pa.array(np.sort(once)))
