@@ -14,11 +14,11 @@ signature: two texts agree in a register with a probability of their weighted
 Jaccard similarity. Points are made in order of time, and only up to the time by
 which all registers are filled, so a long text costs little more than hashing.
 
-Texts of equal words are one entry. Bands of the signature give buckets. Instead
-of all pairs of a bucket, members are first verified against one leader in each
-of a few rounds; what shares a bucket and is still in different classes is then
-compared by signature in blocks, and verified. Verification is exact, on the
-multisets.
+Texts of equal words are one entry. Bands of the signature give buckets; of
+buckets with the same members one stays. In its bucket an entry carries its
+shingles, and overlaps are counted exactly, block by block: what leaves a block
+is an edge for each member of a class found there, never its pairs. A bucket is
+cut into blocks by the shingles it holds, so no task takes an unbounded group.
 
 Edge cases: null and empty texts and rows of a null id are classes of their own;
 repeated rows of an id each give a row; an empty table gives no row.
@@ -39,8 +39,10 @@ from souk.llm.components import connected
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Rounds of leaders, entries of a block, and how many standard deviations an estimate may lie below the threshold.
-LEADERS, BLOCK, SLACK = 3, 2048, 4.5
+#: Shingles and entries of a block, columns of the matrix that counts overlaps.
+BLOCK_SHINGLES, BLOCK, COLUMNS = 400_000, 1024, 2048
+#: Ids that may be broadcast (8 bytes each); more are joined.
+BROADCAST = 1_000_000
 _COEFFICIENTS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _ONE, _TWO = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -117,8 +119,8 @@ def signatures(text: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int,
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key1 and key2 (of the words in order), total (shingles), bands, sig (a
-    byte for each register). A narrow map."""
+    """id, key1 and key2 (of the words in order), total (shingles), bands. A
+    narrow map."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,100 +129,92 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             text, h, count = shingles(words)
             n = batch.num_rows
             sig = signatures(text, h, count, n)
-            bands = np.zeros((n, BANDS), np.uint64)
+            bands = np.tile(mix(np.arange(BANDS, dtype=np.uint64)), (n, 1))
             for k in range(ROWS):
                 bands = mix(bands ^ sig[:, k * BANDS : (k + 1) * BANDS])
             keys = [segment_hash(x, words.first[:-1], words.first[1:]).view(np.int64) for x in (words.hashes, mix(words.hashes ^ _TWO))]
             total = np.bincount(text, weights=count, minlength=n).astype(np.int64)
-            flat = pa.array(bands.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[0]), pa.array(keys[1]), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), flat), pa.array([r.tobytes() for r in (sig & np.uint64(255)).astype(np.uint8)], pa.binary())], names=["id", "key1", "key2", "total", "bands", "sig"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[0]), pa.array(keys[1]), pa.array(total), lists], names=["id", "key1", "key2", "total", "bands"])
 
-    return source.mapInArrow(work, "id long, key1 long, key2 long, total long, bands array<long>, sig binary")
+    return source.mapInArrow(work, "id long, key1 long, key2 long, total long, bands array<long>")
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Of each pair of texts, exactly: the sum of the lesser counts over that of the greater."""
-    parts = [shingles(words_of(x)) for x in (left, right)]
-    totals = [np.bincount(t, weights=c, minlength=len(left)) for t, _, c in parts]
-    text, h, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((h, text))
-    text, h, count = text[order], h[order], count[order]
-    both = np.flatnonzero((text[1:] == text[:-1]) & (h[1:] == h[:-1]))
-    common = np.bincount(text[both], weights=np.minimum(count[both], count[both + 1]), minlength=len(left))
-    return common / np.maximum(totals[0] + totals[1] - common, 1)
-
-
-def _estimate_floor(threshold: float) -> float:
-    return threshold - SLACK * (threshold * (1 - threshold) / REGISTERS) ** 0.5
-
-
-def _alike(pairs: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that size and signature don't rule out."""
-    floor = _estimate_floor(threshold)
-    side = lambda x: entries.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("total").alias(f"total_{x}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("total_a", "total_b") >= threshold * F.greatest("total_a", "total_b")).select("a", "b", "sig_a", "sig_b")
+def elements(docs: DataFrame) -> DataFrame:
+    """rep, set (binary, 64-bit hashes): the k-th occurrence of a shingle is an
+    element, so that the overlap of two sets is that of the multisets."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
-
-    return joined.mapInArrow(work, "a long, b long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose multisets overlap enough. Only texts of pairs move."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = texts.join(ids, "id", "left_semi")
-    joined = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "left", 1 << 19):
-            near = weighted_jaccard(batch.column("left"), batch.column("right")) >= threshold
-            yield batch.select(["a", "b"]).filter(pa.array(near))
-
-    return joined.mapInArrow(work, "a long, b long")
-
-
-def _mixed(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The postings of buckets that hold several classes: band, value, rep, label."""
-    if labels is None:
-        labelled = posts.withColumn("label", F.col("rep"))
-    else:
-        labelled = posts.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-    several = labelled.groupBy("band", "value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).filter("least < most")
-    return labelled.join(several.select("band", "value", "n"), ["band", "value"])
-
-
-def _residual(mixed: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket in different classes that the signatures don't rule
-    out, compared in blocks."""
-    floor = int(np.ceil(_estimate_floor(threshold) * REGISTERS))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        for batch in slices(batches):
+            text, h, count = shingles(words_of(batch.column("text")))
+            number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            sets = mix(np.repeat(h, count) ^ (number.astype(np.uint64) * _ONE)).tobytes()
+            ends = 8 * np.cumsum(np.bincount(text, weights=count, minlength=batch.num_rows).astype(np.int64))
+            cut = [sets[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(cut, pa.binary())], names=["rep", "set"])
+
+    return docs.mapInArrow(work, "rep long, set binary")
+
+
+def links_of(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the linked pairs between two lists of rows, by exact overlaps."""
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    row, values = row[order], values[order]
+    new = np.append(True, values[1:] != values[:-1])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1  # what one row alone holds is in no overlap
+    row, column = row[shared], column[shared]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])) - 1 if len(column) else column
+    overlap = np.zeros((len(first), len(second)), np.float32)
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + COLUMNS + 1, COLUMNS))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            part = np.zeros((len(sets), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] % COLUMNS] = 1
+            overlap += part[first] @ part[second].T
+    union = sizes[first][:, None] + sizes[second][None, :] - overlap.astype(np.float64)
+    i, j = np.nonzero(overlap >= threshold * union)
+    i, j = first[i], second[j]
+    return i[i != j], j[i != j]
+
+
+def spanning(i: np.ndarray, j: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, least id of its class) for the rows of a block that are linked."""
+    label = reps.copy()
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, before[j])
+        np.minimum.at(label, j, before[i])
+        if (label == before).all():
+            break
+    rows = np.flatnonzero(label != reps)
+    return reps[rows], label[rows]
+
+
+def bucket_links(posts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: edges that connect what is linked within a bucket. ``posts``: bucket,
+    rep, blocks."""
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    posted = mixed.join(entries.select("rep", "sig", "total"), "rep").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = posted.groupBy("band", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).agg(F.collect_list(F.struct("rep", "label", "total", "sig", "own")).alias("members"))
-    cells = cells.filter(F.size("members") > 1)
+    dealt = posts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("rep", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own")
+    cells = dealt.join(sets, "rep").groupBy("bucket", "low", "high").agg(F.collect_list(F.struct("rep", "own", "set")).alias("members")).filter(F.size("members") > 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, low, high = batch.column("members"), batch.column("low").to_numpy(), batch.column("high").to_numpy()
+            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
             for c in range(batch.num_rows):
-                m = lists[c].values
-                rep, label, total, side = (m.field(f).to_numpy() for f in ("rep", "label", "total", "own"))
-                sig = np.frombuffer(b"".join(m.field("sig").to_pylist()), np.uint8).reshape(len(m), -1)
-                first, second = np.flatnonzero(side == low[c]), np.flatnonzero(side == high[c])
-                for at in range(0, len(first), 64):
-                    rows = first[at : at + 64]
-                    agree = np.zeros((len(rows), len(second)), np.int16)
-                    for r in range(sig.shape[1]):
-                        agree += sig[rows, r][:, None] == sig[second, r][None, :]
-                    x, y = total[rows][:, None], total[second][None, :]
-                    i, j = np.nonzero((agree >= floor) & (label[rows][:, None] != label[second][None, :]) & (np.minimum(x, y) >= threshold * np.maximum(x, y)))
-                    if len(i):
-                        a, b = rep[rows[i]], rep[second[j]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                m = batch.column("members")[c].values
+                rep, own = m.field("rep").to_numpy(), m.field("own").to_numpy()
+                first, second = np.flatnonzero(own == low[c]), np.flatnonzero(own == high[c])
+                if not len(first) or not len(second):
+                    continue  # one block is empty; pairs within the other have their own cell
+                sets = [np.frombuffer(x, np.uint64) for x in m.field("set").to_pylist()]
+                ids, roots = spanning(*links_of(sets, first, second, threshold), rep)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots)], names=["a", "b"])
 
     return cells.mapInArrow(work, "a long, b long").distinct()
 
@@ -230,27 +224,19 @@ def classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", tex
     kept (whether the row's id is that)."""
     found = written(features(docs, id_col, text_col), "bag-features")
     fine = found.filter("id is not null and total > 0")
-    entries = written(fine.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.first("total").alias("total"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "bag-entries")
-    posts = entries.select("rep", F.posexplode("bands").alias("band", "value"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    links, tried, labels = None, None, None
-    for number in range(LEADERS):
-        mixed = _mixed(posts, labels)
-        chosen = F.min_by(F.struct("rep", "label"), F.xxhash64("rep", F.lit(number)) if number else F.col("rep"))
-        leaders = mixed.groupBy("band", "value").agg(chosen.alias("leader"))
-        pairs = mixed.join(leaders, ["band", "value"]).filter("leader.label <> label").select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(_alike(pairs, entries, threshold), f"bag-pairs{number}")
-        new = written(_verified(pairs, texts, threshold), f"bag-links{number}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        labels = connected(links, f"bag{number}")
-    rest = _residual(_mixed(posts, labels), entries, threshold).join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "bag-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(written(_verified(rest, texts, threshold), "bag-links-rest"))
-        labels = connected(links, "bag-last")
+    entries = written(fine.groupBy("key1", "key2").agg(F.min("id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")), "bag-entries")
+    posts = entries.select("rep", "total", F.explode("bands").alias("bucket"))
+    members = F.struct(F.count("*").alias("n"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.bit_xor(F.xxhash64("rep")).alias("all"))
+    buckets = posts.groupBy("bucket").agg(members.alias("members"), F.sum("total").alias("shingles")).filter("members.n > 1")
+    buckets = buckets.groupBy("members").agg(F.min("bucket").alias("bucket"), F.max("shingles").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("shingles") / BLOCK_SHINGLES, F.col("members.n") / BLOCK)).cast("int")
+    posts = written(posts.join(buckets.select("bucket", blocks.alias("blocks")), "bucket").select("bucket", "rep", "blocks"), "bag-posts")
+    wanted = posts.select("rep").distinct()
+    if posts.select("rep").distinct().count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), text_of(text_col).alias("text")).join(wanted, "rep", "left_semi")
+    links = written(bucket_links(posts, elements(texts), threshold), "bag-links")
+    labels = connected(links, "bag")
     by_entry = entries.select("key1", "key2", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("class_id"))
     joined = fine.select("id", "key1", "key2").join(by_entry, ["key1", "key2"]).select("id", "class_id")
     alone = found.filter("id is null or total = 0").select("id", F.col("id").alias("class_id"))
