@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from souk.llm.bag_minhash import shingles
 from souk.llm.common import labelled_sample, mix, slices, text_buffer, text_of, words_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id), and of them for the field.
@@ -69,7 +70,7 @@ class Lattice:
         self.rows = np.repeat(np.arange(len(owner)), self.length)
         self.columns = np.arange(len(self.rows)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
-    def run(self, energy: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(self, energy: np.ndarray, trans: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Marginals of label 1; those of the four label pairs by word (the word
         before and itself; the first word of a text has none)."""
         n, width = len(self.start), self.width
@@ -108,7 +109,7 @@ class Lattice:
             x = np.where(on[k], high / (low + high), x)
             forward[k] = x
         marginal = np.empty((width, n))
-        pairs = np.empty((4, width, n))
+        pairs = np.empty((4, width, n)) if with_pairs else None
         y = u[1].copy()  # share of label 1 in the message from the right
         for k in range(width - 1, -1, -1):
             f = forward[k]
@@ -116,11 +117,14 @@ class Lattice:
             marginal[k] = one / (one + (1 - f) * (1 - y))
             x = forward[k - 1] if k else entering
             right0, right1 = 1 - y, e[k] * y
-            cell = np.stack([(1 - x) * t[0, 0] * right0, (1 - x) * t[0, 1] * right1, x * t[1, 0] * right0, x * t[1, 1] * right1])
-            pairs[:, k] = cell / cell.sum(axis=0)
+            if with_pairs:
+                cell = np.stack([(1 - x) * t[0, 0] * right0, (1 - x) * t[0, 1] * right1, x * t[1, 0] * right0, x * t[1, 1] * right1])
+                pairs[:, k] = cell / cell.sum(axis=0)
             a, b, c, d = (np.where(begin, 1.0, z) for z in t.ravel()) if k == 0 else t.ravel()
             m0, m1 = a * right0 + b * right1, c * right0 + d * right1
             y = np.where(on[k], m1 / (m0 + m1), y)
+        if not with_pairs:
+            return marginal[self.columns, self.rows], np.zeros((0, 4))
         first = (self.columns == 0) & begin[self.rows]
         own = pairs[:, self.columns, self.rows].T.copy()
         own[first] = 0
@@ -135,7 +139,7 @@ class ToxicModel:
     curve: np.ndarray  # intercept, of the largest marginal, of log(1 + their sum)
 
     def marginals(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return Lattice(first).run(self.weights[slots].sum(axis=1) + self.bias, self.trans)[0]
+        return Lattice(first).run(sum(self.weights[slots[:, i]] for i in range(slots.shape[1])) + self.bias, self.trans, with_pairs=False)[0]
 
     def scores(self, marginals: np.ndarray, first: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(summary(marginals, first) @ self.curve)))
@@ -152,19 +156,48 @@ def summary(marginals: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def telling(slots: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Slots of one kind of unit that toxic documents hold far more often than
-    chance allows: the log likelihood ratio beats that of the best of all units."""
-    doc = np.repeat(np.arange(len(labels)), np.diff(first))
-    pairs = np.unique(doc.astype(np.int64) * SLOTS + slots)
-    units, owner = pairs % SLOTS, pairs // SLOTS
-    total = np.bincount(units, minlength=SLOTS)
-    toxic = np.bincount(units, weights=labels[owner], minlength=SLOTS)
-    prior = max(labels[owner].mean(), 1e-9) if len(owner) else 0.5
-    share = toxic / np.maximum(total, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(toxic > 0, toxic * np.log(share / prior), 0) + np.where(total > toxic, (total - toxic) * np.log((1 - share) / (1 - prior)), 0)
-    return (share > 0.8) & (gain > np.log(max(2, np.count_nonzero(total))) + 2)
+def fresh(parts: list[pa.Array]) -> np.ndarray:
+    """Which texts are no near copies of an earlier one: copies of one document
+    would make all of its words look telling. A text is a copy if it shares one of
+    three least shingles with an earlier text."""
+    seen: set[tuple[int, int]] = set()
+    out: list[bool] = []
+    for part in parts:
+        text, h, _ = shingles(words_of(part))
+        own = np.flatnonzero(np.append(True, text[1:] != text[:-1])) if len(text) else np.zeros(0, np.int64)
+        least = [np.minimum.reduceat(mix(h ^ seed), own) if len(own) else h for seed in _SEEDS[:3]]
+        keys: list[list[tuple[int, int]]] = [[] for _ in range(len(part))]
+        for k, values in enumerate(least):
+            for i, v in zip(text[own].tolist(), values.tolist(), strict=True):
+                keys[i].append((k, v))
+        for mine in keys:
+            out.append(not any(x in seen for x in mine))
+            seen.update(mine)
+    return np.array(out, bool)
+
+
+class Associations:
+    """Of each slot of one kind of unit: the documents, and the toxic ones, that hold it."""
+
+    def __init__(self):
+        self.total, self.toxic = np.zeros(SLOTS), np.zeros(SLOTS)
+
+    def add(self, slots: np.ndarray, first: np.ndarray, labels: np.ndarray) -> None:
+        doc = np.repeat(np.arange(len(labels)), np.diff(first))
+        pairs = np.unique(doc.astype(np.int64) * SLOTS + slots)
+        units, owner = pairs % SLOTS, pairs // SLOTS
+        self.total += np.bincount(units, minlength=SLOTS)
+        self.toxic += np.bincount(units, weights=labels[owner], minlength=SLOTS)
+
+    def telling(self) -> np.ndarray:
+        """Slots that toxic documents hold far more often than chance allows: the
+        log likelihood ratio beats that of the best of all units."""
+        total, toxic = self.total, self.toxic
+        prior = min(max(toxic.sum() / max(total.sum(), 1), 1e-9), 1 - 1e-9)
+        share = toxic / np.maximum(total, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(toxic > 0, toxic * np.log(share / prior), 0) + np.where(total > toxic, (total - toxic) * np.log((1 - share) / (1 - prior)), 0)
+        return (share > 0.8) & (gain > np.log(max(2, np.count_nonzero(total))) + 2)
 
 
 def fit_field(slots: np.ndarray, first: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
@@ -208,25 +241,36 @@ def learn(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
     if not len(labels) or labels.min() == labels.max():
         flat.curve[0] = np.log(share / (1 - share))
         return flat
-    slots, first, _ = features(texts)
-    tags = np.zeros(len(slots), bool)
-    for kind in range(3):
-        tags |= telling(slots[:, kind], first, labels)[slots[:, kind]]
-    doc = np.repeat(np.arange(len(labels)), np.diff(first))
-    tags &= labels[doc] > 0
+    parts = []  # texts are read again for each purpose, a slice at a time: the driver holds no features of all
+    at = 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([texts], names=["_text"])]), "_text", SLICE):
+        parts.append((batch.column("_text"), labels[at : at + batch.num_rows], at))
+        at += batch.num_rows
+    new = fresh([part for part, _, _ in parts])
+    kinds = [Associations() for _ in range(3)]
+    for part, own, at in parts:
+        alone = new[at : at + len(own)]
+        own, (slots, first, _) = own[alone], features(part.filter(pa.array(alone)))
+        for kind, found in enumerate(kinds):
+            found.add(slots[:, kind], first, own)
+    telling = [k.telling() for k in kinds]
     some = np.zeros(len(labels), bool)  # toxic rows up to half of the field's sample, then others
     for value in (1, 0):
-        some[np.flatnonzero(labels == value)[: FIELD_SAMPLE // 2]] = True
-    inside = some[doc]
-    weights, bias, trans = fit_field(slots[inside], np.append(0, np.cumsum(np.diff(first)[some])), tags[inside].astype(np.float64))
+        some[np.flatnonzero((labels == value) & new)[: FIELD_SAMPLE // 2]] = True
+    field = [(part.filter(pa.array(some[at : at + len(own)])), own[some[at : at + len(own)]]) for part, own, at in parts]
+    collected = [(*features(part)[:2], own) for part, own in field if len(own)]
+    tags = [np.logical_or.reduce([telling[k][slots[:, k]] for k in range(3)]) & (np.repeat(own, np.diff(first)) > 0) for slots, first, own in collected]
+    counts = np.concatenate([np.diff(first) for _, first, _ in collected])
+    weights, bias, trans = fit_field(np.concatenate([slots for slots, _, _ in collected]), np.append(0, np.cumsum(counts)), np.concatenate(tags).astype(np.float64))
     model = ToxicModel(weights, bias, trans, flat.curve)
-    model.curve = fit_curve(summary(model.marginals(slots, first), first), labels)
+    sums = [summary(model.marginals(slots, first), first) for slots, first, _ in (features(part) for part, _, _ in parts)]
+    model.curve = fit_curve(np.concatenate(sums), labels)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Learns from the labelled rows of ``docs``, at most ``sample`` of them, picked
-    by the hash of their ids; equal texts count once."""
+    by the hash of their ids; near copies are told from once."""
     rows = labelled_sample(docs, labels, label, sample, id_col).select(F.col(id_col), text_of(text_col).alias("_text"), "_label")
     picked = rows.orderBy(F.xxhash64(id_col), "_text").limit(sample).select("_text", "_label").toArrow()
     _, once = np.unique(np.array([hash(x.as_buffer().to_pybytes() if x.as_buffer() else b"") for x in picked["_text"]], np.int64), return_index=True)
