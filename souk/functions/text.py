@@ -47,7 +47,10 @@ def words(value: Column) -> Column:
 
 def ngrams(tokens: Column, longest: int = 3) -> Column:
     """All runs of 1 .. ``longest`` tokens, joined by blanks."""
-    runs = [F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")) for n in range(1, longest + 1)]
+    def run(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    runs = [run(n) for n in range(1, longest + 1)]
     empty = F.array().cast("array<string>")
     return F.concat(*(F.when(F.size(tokens) >= n, r).otherwise(empty) for n, r in enumerate(runs, 1)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,14 @@ def keyset_page(rows: DataFrame, key: str, size: int, after: int | None = None,
     return rows.orderBy(F.col(key).desc()).limit(size)
 
 
+def _begins(term: str, token: Column) -> Column:
+    return token.startswith(term)
+
+
 def prefix_search(text: Column, terms: list[str]) -> Column:
     """Every term begins some word of the text."""
     tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    found = [F.exists(tokens, lambda t, term=term: t.startswith(term)) for term in terms]
+    found = [F.exists(tokens, partial(_begins, term)) for term in terms]
     out = F.lit(True)
     for f in found:
         out = out & f

@@ -24,7 +24,6 @@ def _paths(value, path: str = "") -> Iterator[tuple[str, str]]:
         yield path, kind
 
 
-@F.udtf(returnType="path string, type string")
 class Flatten:
     """Dotted paths of a JSON text and the types found there."""
 
@@ -39,7 +38,7 @@ class Flatten:
 def paths(rows: DataFrame, payload: str) -> DataFrame:
     """path, type, n, share of the rows."""
     spark = rows.sparkSession
-    spark.udtf.register("souk_flatten", Flatten)
+    spark.udtf.register("souk_flatten", F.udtf(Flatten, returnType="path string, type string"))
     rows.select(F.col(payload).cast("string").alias("payload")).createOrReplaceTempView("_souk_payloads")
     counted = spark.sql("SELECT f.path, f.type, count(*) AS n FROM _souk_payloads, LATERAL souk_flatten(payload) f GROUP BY f.path, f.type")
     total = rows.agg(F.count("*").alias("total"))
