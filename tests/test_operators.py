@@ -1,0 +1,124 @@
+"""Operators that SQL can't express, and rules with known values."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from souk.functions import text as T
+from souk.functions.exprs import half_even, half_up
+from souk.operators import deals as D
+from souk.operators import grouping as G
+from souk.operators import history as H
+from souk.operators import ingest as I
+from souk.operators import ranking as R
+from souk.operators import scopes as S
+from souk.sources.paged import bisect
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items()), F.lit(0).alias("_")).select(column).first()[0]
+
+
+@pytest.mark.parametrize(("k", "n", "p", "want"), [(1, 1, 0.138, "0.179048"), (402, 1051, 0.138, "0.377927"), (0, 0, 0.25, "0.25"), (5, 5, 1.0, "1")])
+def test_smoothing(spark, k, n, p, want):
+    assert one(spark, R.smooth(F.lit(k), F.lit(n), F.lit(p))) == Decimal(want)
+
+
+def test_expected_days(spark):
+    assert [one(spark, R.expected_days(F.lit(p))) for p in (0.0, 1.0, 0.5)] == [365, 7, Decimal("43.28")]
+
+
+def test_rounding(spark):
+    assert (one(spark, half_up(F.lit("0.125").cast("decimal(6,3)"), 2)), one(spark, half_even(F.lit("0.125").cast("decimal(6,3)"), 2))) == (Decimal("0.13"), Decimal("0.12"))
+
+
+def test_mid_ranks_and_average_ranks(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 5)], "pool string, v int")
+    got = sorted(map(tuple, rows.select("v", R.mid_rank(F.col("v"), "pool"), R.mid_rank(F.col("v"), "pool", lower_is_better=True), R.average_rank(F.col("v"), "pool")).collect()))
+    assert got == [(1, 0.125, 0.875, 1.0), (2, 0.5, 0.5, 2.5), (2, 0.5, 0.5, 2.5), (5, 0.875, 0.125, 4.0)]
+
+
+def test_weights():
+    assert R.parse_weights({"a": 1, "b": 1, "c": 1}) == {"a": 0.3334, "b": 0.3333, "c": 0.3333}
+    with pytest.raises(ValueError):
+        R.parse_weights({"a": 0})
+
+
+def test_windows_are_closed_in_elapsed_time(spark):
+    at = datetime(2026, 10, 1, 12)
+    rows = [("sold", at - timedelta(days=d), at - timedelta(days=200)) for d in (0, 30, 31, 60, 61, -1)] + [("active", None, at)]
+    scoped = spark.createDataFrame([("s", "k", *r) for r in rows], "level string, scope_key string, status string, sold_at timestamp_ntz, listed_at timestamp_ntz")
+    row = S.window_counts(scoped, at).first()
+    assert (row["sold_30d"], row["sold_prev_30d"], row["sold_90d"], row["active_now"], row["new_14d"]) == (2, 2, 5, 1, 1)
+
+
+@pytest.mark.parametrize(("price", "abroad", "want"), [("20", False, ("1.99", "1.19")), ("100", False, ("6.00", "3.98")), ("120", True, ("10.80", "6.48"))])
+def test_fees(spark, price, abroad, want):
+    base = F.lit(price).cast("decimal(14,4)")
+    assert (one(spark, D.commission(base)), one(spark, D.processing(base, F.lit(abroad)))) == tuple(map(Decimal, want))
+
+
+@pytest.mark.parametrize(("value", "category", "want"), [("small", None, "S"), ("one  size", None, "OS"), ("EU 40", "footwear", "US 7.5"), ("UK 9", "shoes", "US 10"), ("JP 27", "sneakers", "US 9"), ("W32 L30", "bottoms", "W32"), ("50", "pants", None), (None, None, None), ("20", "footwear", None)])
+def test_sizes(spark, value, category, want):
+    assert one(spark, T.normal_size(F.lit(value).cast("string"), F.lit(category).cast("string"))) == want
+
+
+@pytest.mark.parametrize(("title", "brand", "want"), [("A replica bag", "X", True), ("Replica sneakers", "Maison Margiela", False), ("inspired by X", "Y", True), ("Vans-inspired", "Y", False), ("1:1 rep", "Margiela", True)])
+def test_replicas(spark, title, brand, want):
+    assert one(spark, T.looks_replica(F.lit(title), F.lit(None).cast("string"), F.lit(brand))) == want
+
+
+def test_words_and_slugs(spark):
+    assert one(spark, T.words(F.lit("X-Pander Dresses l'Été ladies boss"))) == ["xpander", "dress", "lete", "lady", "boss"]
+    assert one(spark, T.slug(F.lit(" Été à  la mer! "))) == "ete-a-la-mer"
+    assert one(spark, T.article_code(F.lit("ab12cd34"))) and not one(spark, T.article_code(F.lit("abcdef")))
+    assert one(spark, T.redact(F.lit("a@b.cd token=xyz"))) == "[mail] token=[secret]"
+
+
+def test_ngrams(spark):
+    assert one(spark, T.ngrams(F.array(F.lit("a"), F.lit("b")))) == ["a", "b", "a b"]
+
+
+def test_mining_prefers_longer_phrases(spark):
+    rows = [(i, f"s{i}", "t", "big city bag") for i in range(6)] + [(10 + i, f"r{i}", "t", "city") for i in range(3)]
+    titles = spark.createDataFrame(rows, "listing_id long, seller string, product_type string, title string")
+    got = {r["phrase"]: r["own_sellers"] for r in G.mine(titles, sellers=3).collect()}
+    assert got == {"big city bag": 6, "city": 3}
+    found = G.longest_match(titles, G.mine(titles, sellers=3))
+    assert {r["listing_id"]: r["model"] for r in found.collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_relists_follow_ended_listings(spark):
+    day = lambda d: datetime(2026, 1, 1) + timedelta(days=d)
+    rows = [(1, "removed", day(0), day(10)), (2, "removed", day(12), day(20)), (3, "active", day(21), day(22)), (4, "sold", day(23), day(24)), (5, "active", day(25), day(30))]
+    frame = spark.createDataFrame([("s", "g", *r) for r in rows] + [(None, "g", 9, "removed", day(0), day(1))], "seller string, group_id string, listing_id long, status string, listed_at timestamp_ntz, touched_at timestamp_ntz")
+    assert {r["listing_id"]: r["root_id"] for r in G.relists(frame).collect()} == {2: 1, 3: 1}
+
+
+def test_fuzzy_names(spark):
+    assert G.indel_ratio("abcd", "abcd") == 100 and G.indel_ratio("", "") == 100
+    raw, known = spark.createDataFrame([("Balenciagga",), ("Zzz",)], "raw string"), spark.createDataFrame([("Balenciaga",), ("Gucci",)], "known string")
+    assert [tuple(r)[:2] for r in G.fuzzy_match(raw, known).collect()] == [("Balenciagga", "Balenciaga")]
+
+
+def test_upsert_rules(spark):
+    old = spark.createDataFrame([(1, "a", 5, "x"), (2, "b", 7, "y")], "k int, name string, drops int, gone string")
+    new = spark.createDataFrame([(1, None, 4, None), (3, "c", 1, "z")], "k int, name string, drops int, gone string")
+    got = {r["k"]: tuple(r) for r in H.merge(old, new, "k", {"name": "new", "drops": "most", "gone": "always"}).collect()}
+    assert got == {1: (1, "a", 5, None, "updated"), 2: (2, "b", 7, "y", "kept"), 3: (3, "c", 1, "z", "inserted")}
+
+
+def test_ingestion(spark):
+    hits = ['{"objectID": "7", "title": " A  b ", "designers": [{"name": "N"}], "price": 10.005, "created_at_i": 1700000000000, "makeoffer": 1}', '{"id": 0, "price": "x"}']
+    good, bad = I.normalize(spark.createDataFrame([(h,) for h in hits], "payload string"))
+    row = good.first()
+    assert (row["listing_id"], row["title"], row["brand"], row["price"], row["offers"]) == (7, "A b", "N", Decimal("10.01"), True)
+    assert row["listed_at"].year == 2023 and bad.first()["reasons"] == ["id", "title", "brand", "price"]
+
+
+def test_bisection_has_no_gap():
+    assert bisect(3, 10) == ((3, 6), (6, 10)) and bisect(0, 1) == ((0, 0), (0, 1))
