@@ -27,12 +27,12 @@ from souk.llm.bag_minhash import shingles
 from souk.llm.common import labelled_sample, mix, slices, text_buffer, text_of, words_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id), and of them for the field.
-SAMPLE, FIELD_SAMPLE = 20_000, 2_500
+SAMPLE, FIELD_SAMPLE = 10_000, 2_000
 #: Slots of the feature table, and passes over the field's rows.
 SLOTS, PASSES = 1 << 18, 25
 #: Words of a segment: documents are cut into rows of so many for the recursions.
 SEGMENT = 256
-SLICE = 6 << 20
+SLICE = 4 << 20
 _SEEDS = [np.uint64(x * 0x9E3779B97F4A7C15 % 2**64) for x in range(1, 6)]
 
 
@@ -71,11 +71,11 @@ class Lattice:
         self.columns = np.arange(len(self.rows)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
 
     def run(self, energy: np.ndarray, trans: np.ndarray, with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of label 1; those of the four label pairs by word (the word
-        before and itself; the first word of a text has none)."""
+        """Marginals of label 1; the sums over all words of those of the four label
+        pairs (of the word before and itself; a text's first word has none)."""
         n, width = len(self.start), self.width
         if not n:
-            return np.zeros(0), np.zeros((0, 4))
+            return np.zeros(0), np.zeros(4)
         e = np.ones((width, n))
         e[self.columns, self.rows] = np.exp(np.clip(energy, -30, 30))
         on = np.arange(width)[:, None] < self.length
@@ -109,7 +109,7 @@ class Lattice:
             x = np.where(on[k], high / (low + high), x)
             forward[k] = x
         marginal = np.empty((width, n))
-        pairs = np.empty((4, width, n)) if with_pairs else None
+        pairs = np.zeros(4)
         y = u[1].copy()  # share of label 1 in the message from the right
         for k in range(width - 1, -1, -1):
             f = forward[k]
@@ -119,16 +119,11 @@ class Lattice:
             right0, right1 = 1 - y, e[k] * y
             if with_pairs:
                 cell = np.stack([(1 - x) * t[0, 0] * right0, (1 - x) * t[0, 1] * right1, x * t[1, 0] * right0, x * t[1, 1] * right1])
-                pairs[:, k] = cell / cell.sum(axis=0)
+                pairs += (cell / cell.sum(axis=0))[:, on[k] & ~(begin & (k == 0))].sum(axis=1)
             a, b, c, d = (np.where(begin, 1.0, z) for z in t.ravel()) if k == 0 else t.ravel()
             m0, m1 = a * right0 + b * right1, c * right0 + d * right1
             y = np.where(on[k], m1 / (m0 + m1), y)
-        if not with_pairs:
-            return marginal[self.columns, self.rows], np.zeros((0, 4))
-        first = (self.columns == 0) & begin[self.rows]
-        own = pairs[:, self.columns, self.rows].T.copy()
-        own[first] = 0
-        return marginal[self.columns, self.rows], own
+        return marginal[self.columns, self.rows], pairs
 
 
 @dataclass
@@ -215,7 +210,7 @@ def fit_field(slots: np.ndarray, first: np.ndarray, tags: np.ndarray) -> tuple[n
         grad = sum(np.bincount(slots[:, i], weights=miss, minlength=SLOTS) for i in range(slots.shape[1])) - 0.01 * weights
         g_w[used] += grad[used] ** 2
         weights[used] += 0.7 * grad[used] / np.sqrt(g_w[used])
-        grad_b, grad_t = miss.sum(), (seen - pairs.sum(axis=0)).reshape(2, 2)
+        grad_b, grad_t = miss.sum(), (seen - pairs).reshape(2, 2)
         g_b += grad_b**2
         g_t += grad_t**2
         bias += 0.5 * grad_b / np.sqrt(g_b)

@@ -234,7 +234,7 @@ def test_field_marginals_are_those_of_all_paths():
 
 def test_spans_point_at_the_words(spark, odd):
     bad = "é you idiot there, clown"
-    rows = [(i, f"{'word é other ' * (i % 3 + 1)}{bad if i % 2 else 'fine text'} {i}") for i in range(400)]
+    rows = [(i, f"{' '.join(f'é{i * k % 97}w{i}' for k in range(12))} {bad if i % 2 else 'fine text'} {i}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxic_crf.train(docs, labels)
