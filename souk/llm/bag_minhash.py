@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import mix, segment_hash, slices, text_of, words_of, written
+from souk.llm.common import mix, segment_hash, slices, small_batches, text_of, words_of, written
 from souk.llm.components import connected
 
 SHINGLE = 5
@@ -121,7 +121,7 @@ def signatures(text: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int,
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key1 and key2 (of the words in order), total (shingles), bands. A
     narrow map."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import mix, slices, text_of
+from souk.llm.common import mix, slices, small_batches, text_of
 from souk.llm.token_cache import Encoder, shared_encoder
 
 NONE = np.int32(2**31 - 1)
@@ -177,7 +177,7 @@ def unit_encoder(codec: Codec, pattern: str) -> Encoder:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, ids (binary, little-endian unsigned
     32-bit). A narrow map."""
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

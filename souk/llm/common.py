@@ -45,6 +45,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+#: Rows of an Arrow batch of whole texts; Spark's 10,000 are too many where texts are long.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded for rows with whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id as decimal text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import FOLD, slices, text_buffer, text_of
+from souk.llm.common import FOLD, slices, small_batches, text_buffer, text_of
 
 #: Phrases and labels that the contract fixes.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -178,7 +178,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     base_labels, labels, score, expressions (how many were read). ``phrases``:
     further ones, in folded words. A narrow map: nothing is shuffled."""
     known, base = BASE_PHRASES | MORE_PHRASES | (phrases or {}), frozenset(BASE_PHRASES)
-    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import slices, text_of, written
+from souk.llm.common import slices, small_batches, text_of, written
 from souk.llm.token_cache import library_encoder
 
 SIZE = 4096
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, size: int = SIZ
     The texts are not shuffled: each task encodes and packs what it reads. Only
     the leftovers (at most ``n_open`` windows a partition) move.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kinds = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_REST}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import scratch, slices, text_of
+from souk.llm.common import scratch, slices, small_batches, text_of
 from souk.llm.token_cache import library_encoder
 
 MAGIC = b"SOUKTOK1"
@@ -132,7 +132,7 @@ def write(docs: DataFrame, out: str, vocabulary_path: str, end_id: int = 2, voca
     attempt and renames at the end, so a task that runs twice leaves one file.
     """
     bits = width(max(vocabulary, end_id + 1))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary_path, special, words=False)

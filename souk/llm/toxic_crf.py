@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.llm.bag_minhash import shingles
-from souk.llm.common import labelled_sample, mix, slices, text_buffer, text_of, words_of
+from souk.llm.common import labelled_sample, mix, slices, small_batches, text_buffer, text_of, words_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id), and of them for the field.
 SAMPLE, FIELD_SAMPLE = 10_000, 2_000
@@ -279,7 +279,7 @@ def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: st
     start and end in characters, score: runs of words whose marginal is at least
     ``level``). A narrow map over whole texts."""
     carried = list(keep or {})
-    source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *(c.alias(name) for name, c in (keep or {}).items()))
+    source = small_batches(docs).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *(c.alias(name) for name, c in (keep or {}).items()))
     out = T.StructType([f for f in source.schema if f.name != "_text"]).add("score", "double").add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("score", "double")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: SLOTS weights
 
