@@ -35,7 +35,6 @@ def _share(part: Column, whole: Column) -> Column:
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """id, the columns of ``keep`` (name: column of ``docs``) and a column for each statistic."""
-    own = ["_text", "_words", "_lines", "_n", "_w"]
     out = docs.select(*(c.alias(name) for name, c in (keep or {}).items()), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     out = out.withColumns({"_words": F.split(F.trim("_text"), r"\s+"), "_lines": F.split("_text", "\n"), "_n": F.length("_text").cast("double")})
     out = out.withColumn("_w", F.size("_words").cast("double"))
@@ -53,7 +52,9 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "capitals": _share(count(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), F.col("_n")),
         "vowels": _share(count(F.translate("_text", "aeiouAEIOU", "")), F.col("_n")),
     })
-    return out.drop(*own).withColumnRenamed("_id", id_col)
+    # a generated row: what reads the statistics later can't make Spark compute them again in a pushed filter
+    made = out.select("_id", *(keep or {}), F.inline(F.array(F.struct(*FEATURES))))
+    return made.withColumnRenamed("_id", id_col)
 
 
 FEATURES = ["log_chars", "log_words", "word_length", "distinct_words", "distinct_lines", "line_words", "symbols", "stops", "digits", "capitals", "vowels"]
