@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from souk.operators import ingest as I
 from souk.plans.market_queries import register
 from souk.sources.listings import table
 from souk.sources.paged import PagedSource
+from souk.sources.scratch import path
 from souk.streaming import changes as X
 
 QUERIES: dict = {}
@@ -19,9 +17,8 @@ q = lambda sql=None: register(QUERIES, ORACLE, sql)
 
 
 def folder(spark) -> str:
-    """For a stream's checkpoint and table: in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="souk-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """For a stream's checkpoint and table."""
+    return path(spark, "stream")
 
 
 @q("""SELECT user_id, CAST(ts AS VARCHAR) AS ts, value, before FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)) WHERE k = 1 OR value <> before""")
