@@ -30,9 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays, that of the least id;
     documents without an id stay."""
-    kept = written(bag_minhash.classes(docs).filter("kept and doc_id is not null").groupBy("doc_id").count(), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    return out if kept.filter("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    found = bag_minhash.classes(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
+    found = written(found, "kept")
+    dropped = found.filter("not kept").select("doc_id")
+    if dropped.count() <= bag_minhash.BROADCAST:  # so the texts stay where they are
+        dropped = F.broadcast(dropped)
+    out = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return out
+    again = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return out.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

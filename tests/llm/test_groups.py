@@ -188,3 +188,14 @@ def test_sql_of_chat_format(spark, sf_dir):
     from tests.compare import connect, same
 
     same(queries.op6_chat_format(spark, sf_dir), connect(sf_dir), queries.OP6_SQL)
+
+
+def test_stages_keep_odd_rows(spark):
+    """Null ids and texts stay; repeated rows of an id are kept once; no table, no rows."""
+    rows = [(1, "same words in this text here"), (1, "same words in this text here"), (2, "same words in this text here"), (None, "same words in this text here"), (None, None), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "'x' AS class_id", "1 AS kept")
+    got = corpus_pipeline.near_copies(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted([("1", rows[0][1]), ("None", rows[0][1]), ("None", "None"), ("3", "None"), ("4", "")])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.filter("doc_id < 0"), "/root/testdata/sf0.001").count() == 0
