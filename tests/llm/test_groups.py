@@ -133,6 +133,37 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, block):
     assert itq_dedup.link(frame.filter("vec_id < 0")).count() == 0 and itq_dedup.link(frame.filter("vec_id = 1000")).count() == 1
 
 
+@pytest.mark.parametrize("shared", [0.69, 0.87])
+def test_links_of_vectors_that_share_a_direction(spark, shared):
+    """Recall against all pairs; half of the rows have a partner just above the threshold."""
+    choose, n, d = np.random.default_rng(7), 3000, 64
+    apart = choose.normal(size=(n, d))
+    apart[:, 0] = 0
+    apart /= np.linalg.norm(apart, axis=1, keepdims=True)
+    like = (0.905 - shared**2) / (1 - shared**2)
+    apart[n // 2 :] = like * apart[: n // 2] + (1 - like**2) ** 0.5 * apart[n // 2 :]
+    x = (1 - shared**2) ** 0.5 * apart / np.linalg.norm(apart, axis=1, keepdims=True)
+    x[:, 0] = shared
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in itq_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    close = cosines(rows) >= 0.9
+    np.fill_diagonal(close, False)
+    assert close.sum() > 0.6 * n and sum(got.values()) >= 0.998 * close.sum()
+
+
+def test_tables_hold_their_recall():
+    """At the threshold, at the row nearest to the mean, or else all pairs."""
+    for shared in (0.0, 0.5, 0.69, 0.87, 0.95):
+        choose = np.random.default_rng(8)
+        x = choose.normal(size=(2000, 64)) / 8 * (1 - shared**2) ** 0.5
+        x[:, 0] += shared
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        mean, _, bits, tables = itq_dedup.fit(x, 50_000, 0.9)
+        angle = itq_dedup.centred_angle(0.9, np.linalg.norm(x - mean, axis=1).min())
+        assert 1 - (1 - (1 - angle / np.pi) ** bits) ** tables >= 0.999 - 1e-9
+        assert bits or shared > 0.6
+
+
 def test_rotation_balances_codes():
     x = np.random.default_rng(1).normal(size=(500, 8)) * np.arange(1, 9)
     rotation = itq_dedup.learn_rotation(x, np.random.default_rng(2))
