@@ -38,12 +38,18 @@ SAMPLE = 10_000
 
 def choose_pivots(x: np.ndarray, n: int = PIVOTS, seed: int = 3) -> np.ndarray:
     """Rows of the sample, no two nearly alike: a row that is close to a chosen
-    pivot is passed over as long as others are left."""
+    pivot is passed over as long as others are left. If those are too few, the rows
+    passed over fill up, the one farthest from all pivots first."""
     order = np.random.default_rng(seed).permutation(len(x))
     chosen: list[int] = []
     for i in order:
         if len(chosen) < n and (not chosen or (x[chosen] @ x[i]).max() < 0.9):
             chosen.append(int(i))
+    nearest = (x @ x[chosen].T).max(axis=1)
+    while len(chosen) < n and nearest.min() < 1 - 1e-12:  # else all directions are pivots
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, x @ x[chosen[-1]])
+        nearest[chosen[-1]] = 1.0
     return x[chosen]
 
 
@@ -54,12 +60,13 @@ def orders(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search_block(places: np.ndarray, x: np.ndarray, reps: np.ndarray, q_places: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, rows, cosines) of the ``k`` best of a block for each query."""
+    """(query, rows, cosines) of the ``k`` best of a block for each query. Rows with
+    the footrule of the last one that is reranked are reranked with it."""
     keep = min(len(x), max(AT_LEAST, int(len(x) * SHARE)))
     wide = places.astype(np.int16)
     for i in range(len(q)):
         footrule = np.abs(wide - q_places[i].astype(np.int16)).sum(axis=1, dtype=np.int32)
-        near = np.argpartition(footrule, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
+        near = np.flatnonzero(footrule <= np.partition(footrule, keep - 1)[keep - 1]) if keep < len(x) else np.arange(len(x))
         cosine = (x[near] * q[i]).sum(axis=1)
         best = np.lexsort((reps[near], -cosine))[:k]
         yield i, near[best], cosine[best]

@@ -184,6 +184,28 @@ def test_neighbours_against_brute_force(spark):
     assert hits / total >= 0.9 and {r["query_id"] for r in got} == set(range(0, len(rows), 50))
 
 
+def test_neighbours_in_a_narrow_cone(spark):
+    choose, n, d = np.random.default_rng(9), 6000, 64
+    x = choose.normal(size=(n, d)) / 8 * 0.26
+    x[:, 0] += 1
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    close = cosines(rows)
+    assert close.min() > 0.8 and len(permutation_index.choose_pivots(np.array([v for _, v in rows]) / np.linalg.norm(x, axis=1, keepdims=True))) == permutation_index.PIVOTS
+    got = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    np.fill_diagonal(close, -1)
+    hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-close[q])[:5].tolist())) for q in range(0, n, 50))
+    assert hits / (n // 50 * 5) >= 0.9
+
+
+def test_rows_tied_at_the_cut_are_reranked():
+    """All orders alike: the whole block is reranked."""
+    x = np.random.default_rng(4).normal(size=(2000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    places = np.zeros((2000, 3), np.uint8)
+    for i, rows, _ in permutation_index.search_block(places, x, np.arange(2000), places[:20], x[:20], 5):
+        assert rows.tolist() == np.argsort(-(x @ x[i]))[:5].tolist()
+
+
 def test_neighbours_of_copies_and_few(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(0, 20)] + [(100, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = permutation_index.search(same, F.col("vec_id").isin(3, 100)).collect()
