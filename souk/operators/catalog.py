@@ -57,9 +57,14 @@ def status_counts(listings: DataFrame, *by: str) -> DataFrame:
     return listings.groupBy(*by).pivot("status", ["sold", "active", "removed"]).count().na.fill(0)
 
 
-def export(rows: DataFrame, limit: int = 50_000) -> DataFrame:
-    """All columns as cells."""
-    return rows.select(*(cell(F.col(c), kind).alias(c) for c, kind in rows.dtypes)).limit(limit)
+def export(rows: DataFrame) -> DataFrame:
+    """All rows, all columns as cells."""
+    return rows.select(*(cell(F.col(c), kind).alias(c) for c, kind in rows.dtypes))
+
+
+def export_trends(rows: DataFrame, *order: Column | str, limit: int = 50_000) -> DataFrame:
+    """The first rows of a list of trends in its order, as cells."""
+    return export(rows.orderBy(*order).limit(limit))
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:

@@ -188,9 +188,14 @@ def no_model_share(spark, sf_dir):
 
 @q(query("""SELECT brand_id, product_type, line, versions, CAST(row_number() OVER (PARTITION BY brand_id ORDER BY versions DESC, product_type, line) AS INT) AS place FROM (SELECT brand_id, product_type, line, count(DISTINCT model) AS versions FROM listings GROUP BY ALL) QUALIFY place <= 5""", scoped=False))
 def version_counts(spark, sf_dir):
-    counted = listings(spark, sf_dir).groupBy("brand_id", "product_type", "line").agg(F.count_distinct("model").alias("versions"))
+    """The five lines of each brand with most versions; ``version_counts_all`` has all."""
     place = Window.partitionBy("brand_id").orderBy(F.desc("versions"), "product_type", "line")
-    return counted.withColumn("place", F.row_number().over(place)).filter("place <= 5")
+    return version_counts_all(spark, sf_dir).withColumn("place", F.row_number().over(place)).filter("place <= 5")
+
+
+@q(query("SELECT brand_id, product_type, line, count(DISTINCT model) AS versions FROM listings GROUP BY ALL", scoped=False))
+def version_counts_all(spark, sf_dir):
+    return listings(spark, sf_dir).groupBy("brand_id", "product_type", "line").agg(F.count_distinct("model").alias("versions"))
 
 
 @q(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href="')) AS INT) AS links FROM pages""")

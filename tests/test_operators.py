@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import text as T
 from souk.functions.exprs import half_even, half_up
+from souk.operators import catalog as C
 from souk.operators import deals as D
 from souk.operators import grouping as G
 from souk.operators import history as H
@@ -122,3 +123,20 @@ def test_ingestion(spark):
 
 def test_bisection_has_no_gap():
     assert bisect(3, 10) == ((3, 6), (6, 10)) and bisect(0, 1) == ((0, 0), (0, 1))
+
+
+def test_exports_have_all_rows(spark):
+    """Only the list of trends is cut, in its order."""
+    rows = spark.range(60_000).select(F.col("id"), (-F.col("id")).alias("score"))
+    assert C.export(rows).count() == 60_000
+    cut = C.export_trends(rows, "score", "id")
+    assert cut.count() == 50_000 and cut.agg(F.min(F.col("id").cast("long"))).first()[0] == 10_000
+
+
+def test_every_line_has_its_versions(spark, sf_dir):
+    from souk import registry
+
+    every, top = (registry.QUERIES[n](spark, sf_dir) for n in ("version_counts_all", "version_counts"))
+    keys = ["brand_id", "product_type", "line"]
+    assert every.count() == every.select(*keys).distinct().count() > top.count()
+    assert top.select(*keys, "versions").exceptAll(every.select(*keys, "versions")).count() == 0
