@@ -72,17 +72,17 @@ def tokenize_words(spark, sf_dir):
 
 @q()
 def ngram_support(spark, sf_dir):
-    return G.phrase_support(titles(spark, sf_dir)).filter("sellers >= 15")
+    return G.phrase_support(titles(spark, sf_dir))
 
 
 @q()
 def phrase_collocation(spark, sf_dir):
-    return G.collocations(G.phrase_support(titles(spark, sf_dir)).filter("sellers >= 10"))
+    return G.collocations(G.phrase_support(titles(spark, sf_dir)))
 
 
 @q()
 def mine_phrases(spark, sf_dir):
-    return G.mine(titles(spark, sf_dir), sellers=12)
+    return G.mine(titles(spark, sf_dir))
 
 
 def part_titles(spark, sf_dir):

@@ -93,6 +93,26 @@ def test_mining_prefers_longer_phrases(spark):
     assert {r["listing_id"]: r["model"] for r in found.collect()} == {r[0]: r[3] for r in rows}
 
 
+def test_mining_joins_spellings_and_keeps_groups(spark):
+    """Both spellings count for the name; a phrase of a group stays at fewer sellers, and first."""
+    names = ["super busy"] * 6 + ["superbusy"] * 5 + ["old name"] * 3 + ["new thing"] * 3
+    titles = spark.createDataFrame([(i, f"s{i}", "t", t) for i, t in enumerate(names)], "listing_id long, seller string, product_type string, title string")
+    keep = spark.createDataFrame([("t", "old name")], "product_type string, phrase string")
+    mined = G.mine(titles, keep=keep, keep_sellers=3)
+    assert {(r["phrase"], r["sellers"], r["own_sellers"], tuple(r["variants"]), r["place"]) for r in mined.collect()} == {("old name", 3, 3, (), 1), ("super busy", 11, 11, ("superbusy",), 2)}
+    found = {r["listing_id"]: r["model"] for r in G.longest_match(titles, mined).collect()}
+    assert found == {i: "super busy" if i < 11 else "old name" for i in range(14)}
+
+
+def test_phrases_of_few_sellers_are_counted(spark, sf_dir):
+    from souk import registry
+
+    counts = {r["sellers"] for r in registry.QUERIES["ngram_support"](spark, sf_dir).select("sellers").distinct().collect()}
+    assert min(counts) < 5
+    least = {n: registry.QUERIES[n](spark, sf_dir).agg(F.min("sellers")).first()[0] for n in ("phrase_collocation", "mine_phrases")}
+    assert least["phrase_collocation"] < 10 and 5 <= least["mine_phrases"] < 12
+
+
 def test_relists_follow_ended_listings(spark):
     day = lambda d: datetime(2026, 1, 1) + timedelta(days=d)
     rows = [(1, "removed", day(0), day(10)), (2, "removed", day(12), day(20)), (3, "active", day(21), day(22)), (4, "sold", day(23), day(24)), (5, "active", day(25), day(30))]
