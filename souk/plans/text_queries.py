@@ -45,7 +45,16 @@ def quality_flags(spark, sf_dir):
 
 @q(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(rep|replica|1:1|unauthorized|dhgate)\b') OR regexp_matches(text, '(?i)\binspired\s+by\b') AS replica, regexp_matches(text, '(?i)\b(bundle|lot of|x\s?\d+|set of|read description)\b') AS lot FROM documents WHERE lang = 'en'""")
 def replica_regex(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    """English documents; ``replica_regex_all`` has all."""
+    return _marks(table(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+@q()
+def replica_regex_all(spark, sf_dir):
+    return _marks(table(spark, sf_dir, "documents"))
+
+
+def _marks(docs):
     return docs.select("doc_id", T.looks_replica(F.col("text"), F.lit(None).cast("string"), F.lit("")).alias("replica"), F.col("text").rlike(T.LOT).alias("lot"))
 
 
@@ -65,8 +74,19 @@ def titles(spark, sf_dir):
 @q(r"""SELECT doc_id, CAST(len(w) AS INT) AS n_words, w[1] AS first, array_to_string(list_sort(list_distinct(w)), ' ') AS vocabulary FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z]+'),
   lambda t: CASE WHEN length(t) < 4 THEN t WHEN length(t) >= 5 AND t LIKE '%ies' THEN t[:-4] || 'y' WHEN regexp_matches(t, '(sses|shes|ches|xes)$') THEN t[:-3] WHEN t LIKE '%s' AND NOT regexp_matches(t, '(ss|us|is|os)$') THEN t[:-2] ELSE t END) AS w FROM documents WHERE lang = 'en')""")
 def tokenize_words(spark, sf_dir):
+    """Runs of a to z in English documents; ``tokenize_words_all`` has all words of all."""
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
     tokens = docs.select("doc_id", F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), T.singular).alias("w"))
+    return _vocabulary(tokens)
+
+
+@q()
+def tokenize_words_all(spark, sf_dir):
+    """All documents, by the operators' tokenizer."""
+    return _vocabulary(table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w")))
+
+
+def _vocabulary(tokens):
     return tokens.select("doc_id", F.size("w").alias("n_words"), F.get("w", F.lit(0)).alias("first"), F.array_join(F.array_sort(F.array_distinct("w")), " ").alias("vocabulary"))
 
 
