@@ -9,9 +9,15 @@ one vectorised step. Layout, little-endian:
     footer: bits uint32, block uint32, n_docs uint64, n_tokens uint64, n_blocks uint64,
             doc ids int64[n_docs], token starts uint64[n_docs], block offsets uint64[n_blocks + 1]
 
+Both directions hold one block row of a file at a time: a writer puts out blocks as
+they fill, a reader opens a file by its path, reads its footer, and then the blocks
+of about a million tokens at once.
+
 Edge cases: a null or empty text is the end id alone; a null doc_id sorts first
-and is read back as null; repeated rows are documents of their own, ordered by
-text; an empty table gives no file and no row.
+and is read back as null; repeated rows are documents of their own, those of one
+id ordered by a hash of the text and the text; a text of any length is one
+document, encoded whole; an empty table gives no file and no row; columns beside
+the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import scratch, slices, small_batches, text_of
-from souk.llm.token_cache import library_encoder
+from souk.llm.common import scratch, slices, text_of
+from souk.llm.token_cache import library_encoder, vocabulary_size
 
 MAGIC = b"SOUKTOK1"
 BLOCK = 4096
-#: Tokens after which a task begins a further file; bounds what a reader holds.
-FILE_TOKENS = 4 << 20
+#: Tokens after which a task begins a further file, and those that a reader unpacks at a time.
+FILE_TOKENS, READ_TOKENS = 64 << 20, 1 << 20
+#: Tasks that read files at most.
+READERS = 10_000
 NO_ID = -(1 << 63)
 
 
@@ -44,15 +52,13 @@ def width(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """ids, ``bits`` each, least significant bit first."""
-    if bits in (8, 16, 32):  # the same bytes
-        return ids.astype(f"<u{bits // 8}").tobytes()
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"an id needs more than {bits} bits")
     planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & np.uint32(1)
     return np.packbits(planes.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    if bits in (8, 16, 32):
-        return np.frombuffer(data, f"<u{bits // 8}", n).astype("<u4")
     planes = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
     padded = np.zeros((n, 32), np.uint8)
     padded[:, :bits] = planes
@@ -97,42 +103,51 @@ class Writer:
 
 
 class Reader:
-    """Random access to a file's bytes."""
-
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC or data[-8:] != MAGIC:
+    """Random access to a file: the footer is read at once, blocks when asked for.
+    ``source`` can seek, tell and read."""
+
+    def __init__(self, source):
+        self.source = source
+        size = source.seek(0, 2)
+        tail = self._read(max(0, size - 16), 16)
+        if size < 24 or tail[8:] != MAGIC or self._read(0, 8) != MAGIC:
             raise ValueError("not a token file")
-        (length,) = struct.unpack("<Q", data[-16:-8])
-        at = len(data) - 16 - length
-        self.data = data
-        self.bits, self.block, n_docs, self.n_tokens, n_blocks = struct.unpack_from("<IIQQQ", data, at)
-        at += 32
-        self.docs = np.frombuffer(data, "<i8", n_docs, at)
-        self.starts = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-        self.offsets = np.frombuffer(data, "<u8", n_blocks + 1, at + 16 * n_docs).astype(np.int64)
+        (length,) = struct.unpack("<Q", tail[:8])
+        footer = self._read(size - 16 - length, length)
+        self.bits, self.block, n_docs, self.n_tokens, n_blocks = struct.unpack_from("<IIQQQ", footer)
+        self.docs = np.frombuffer(footer, "<i8", n_docs, 32)
+        self.starts = np.frombuffer(footer, "<u8", n_docs, 32 + 8 * n_docs).astype(np.int64)
+        self.offsets = np.frombuffer(footer, "<u8", n_blocks + 1, 32 + 16 * n_docs).astype(np.int64)
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(n)
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         """The ids start .. end of the file; only the blocks they lie in are unpacked."""
         if start >= end:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        out = [unpack(self.data[self.offsets[b] : self.offsets[b + 1]], min(self.block, self.n_tokens - b * self.block), self.bits) for b in range(first, last + 1)]
+        origin = int(self.offsets[first])
+        data = self._read(origin, int(self.offsets[last + 1]) - origin)
+        cut = self.offsets[first : last + 2] - origin
+        out = [unpack(data[cut[i] : cut[i + 1]], min(self.block, self.n_tokens - (first + i) * self.block), self.bits) for i in range(last - first + 1)]
         return np.concatenate(out)[start - first * self.block : end - first * self.block]
 
     def ends(self) -> np.ndarray:
         return np.append(self.starts[1:], self.n_tokens)
 
 
-def write(docs: DataFrame, out: str, vocabulary_path: str, end_id: int = 2, vocabulary: int = 50_257, special: tuple[str, ...] = ("<|endoftext|>",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, out: str, vocabulary_path: str, end_id: int = 2, vocabulary: int | None = None, special: tuple[str, ...] = ("<|endoftext|>",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes ``docs`` into files under ``out`` (a folder that all machines
     see); returns the manifest: part, piece, file, n_docs, n_tokens, base (tokens
-    of all files before).
+    of all files before). ``vocabulary``: its number of ids, by default that of the file.
 
     One range shuffle of the texts by id. Each task writes under a name of its
     attempt and renames at the end, so a task that runs twice leaves one file.
     """
-    bits = width(max(vocabulary, end_id + 1))
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    bits = width(max(vocabulary or vocabulary_size(vocabulary_path), end_id + 1))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(vocabulary_path, special, words=False)
@@ -172,25 +187,28 @@ def write(docs: DataFrame, out: str, vocabulary_path: str, end_id: int = 2, voca
 
 def read(spark: SparkSession, out: str, manifest: DataFrame) -> DataFrame:
     """The documents of the files under ``out``: doc_id, start (tokens of all
-    documents before), ids (binary, little-endian 32-bit), n_tokens."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(out).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    documents before), ids (binary, little-endian 32-bit), n_tokens. Tasks get
+    names of files and open them by path."""
+    files = manifest.select("file", "base").repartition(max(1, min(READERS, manifest.count())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pyarrow.fs.FileSystem.from_uri(out)
         for batch in batches:
-            for name, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                reader = Reader(content.as_py())
-                ends = reader.ends()
-                at = 0
-                while at < len(ends):  # about 1 million tokens in a batch
-                    to = max(at + 1, int(np.searchsorted(ends, reader.starts[at] + (1 << 20), "right")))
-                    ids = reader.tokens(int(reader.starts[at]), int(ends[to - 1])).astype("<u4").tobytes()
-                    cuts = 4 * (ends[at:to] - reader.starts[at])
-                    binary = [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
-                    docs = reader.docs[at:to]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * (to - at)), pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(reader.starts[at:to]), pa.array(binary, pa.binary())], names=["file", "doc_id", "within", "ids"])
-                    at = to
-
-    return files.mapInArrow(work, "file string, doc_id long, within long, ids binary").join(manifest.select("file", "base"), "file").select("doc_id", (F.col("base") + F.col("within")).alias("start"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+            for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True):
+                with fs.open_input_file(f"{folder}/{name}") as source:
+                    reader = Reader(source)
+                    ends = reader.ends()
+                    at = 0
+                    while at < len(ends):
+                        to = max(at + 1, int(np.searchsorted(ends, reader.starts[at] + READ_TOKENS, "right")))
+                        ids = reader.tokens(int(reader.starts[at]), int(ends[to - 1])).astype("<u4").tobytes()
+                        cuts = 4 * (ends[at:to] - reader.starts[at])
+                        binary = [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+                        docs = reader.docs[at:to]
+                        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64(), mask=docs == NO_ID), pa.array(base + reader.starts[at:to]), pa.array(np.diff(cuts, prepend=0) // 4), pa.array(binary, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                        at = to
+
+    return files.mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, **more) -> DataFrame:
