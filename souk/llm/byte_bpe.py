@@ -2,10 +2,13 @@
 
 Pieces of one length bucket form a padded matrix of symbols. In each round all
 rows merge their leftmost pair of least rank at once; the pair's rank comes
-from a hash table in numpy arrays, and the row is compacted. Pieces over
-``LONG`` bytes merge through a heap, which stays n log n.
+from a hash table in numpy arrays, and the row is compacted. A row of n symbols takes
+n rounds over n cells, so pieces over ``LONG`` bytes merge through a heap instead,
+in the same order and with the same ids, in n log n.
 
-Edge cases: null and empty texts have no ids; repeated rows each give a row.
+Edge cases: null and empty texts have no ids; a text of any length is encoded
+whole; repeated rows each give a row; null ids stay; an empty table gives no row;
+columns beside the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import mix, slices, small_batches, text_of
+from souk.llm.common import mix, slices, text_of
 from souk.llm.token_cache import Encoder, shared_encoder
 
 NONE = np.int32(2**31 - 1)
@@ -29,6 +33,11 @@ LONG = 512
 CELLS = 1 << 21
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 class PairTable:
     """(left id, right id) -> id of the merged token, open addressing."""
 
@@ -68,7 +77,6 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = (np.array(x, np.int32) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int32),) * 3
@@ -77,8 +85,7 @@ class Codec:
 
     @classmethod
     def from_file(cls, path: str) -> Codec:
-        with open(path, "rb") as f:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+        return cls(read_ranks(path))
 
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
@@ -154,13 +161,37 @@ class Codec:
                     heapq.heappush(heap, (c, x, ids[x], ids[y]))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+class Decoder:
+    """The bytes of all tokens in one array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (1 + max(ranks.values(), default=-1))
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        return self.data[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+@cache
+def decoder(path: str) -> Decoder:
+    """One for each Python worker."""
+    return Decoder(read_ranks(path))
+
+
+#: The pattern whose pieces the units of ``token_cache`` are made of: a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def unit_encoder(codec: Codec, pattern: str) -> Encoder:
     """Units are cut into pieces by the pattern, and the pieces of all units
-    encoded together."""
+    encoded together. With another pattern each text is a unit."""
     cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
 
     def encode_units(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +202,13 @@ def unit_encoder(codec: Codec, pattern: str) -> Encoder:
         totals = np.concatenate([[0], np.cumsum(sizes)])
         return (np.concatenate(ids) if ids else np.zeros(0, np.int32)).astype(np.uint32), np.diff(totals[bounds])
 
-    return Encoder(encode_units, lambda text: encode_units([text])[0])
+    return Encoder(encode_units, lambda text: encode_units([text])[0], cut=pattern == PATTERN)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, ids (binary, little-endian unsigned
     32-bit). A narrow map."""
-    source = small_batches(docs).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +227,10 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataF
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.from_file(ranks_path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = [np.frombuffer(x.as_py(), "<u4").tolist() for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in lists], pa.int64()), pa.array([codec.decode(x) for x in lists], pa.binary()), pa.array([" ".join(map(str, x)) for x in lists], pa.string())], names=["id", "n_tokens", "text_bytes", "ids_text"])
+        bytes_of = decoder(ranks_path)
+        for part in slices(batches, "ids"):
+            arrays = [np.frombuffer(x.as_buffer(), "<u4") if x.is_valid and len(x.as_buffer()) else np.zeros(0, np.uint32) for x in part.column("ids")]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in arrays], pa.int64()), pa.array([bytes_of(x).tobytes() for x in arrays], pa.binary()), pa.array([" ".join(map(str, x.tolist())) for x in arrays], pa.string())], names=["id", "n_tokens", "text_bytes", "ids_text"])
 
     return encoded.select(F.col(id_col).alias("id"), "ids").mapInArrow(work, f"id {kind}, n_tokens long, text_bytes binary, ids_text string").withColumnRenamed("id", id_col)
 
