@@ -5,9 +5,11 @@ fills best; if none has room, the fullest is emitted and a new one opened. What
 is open at the end are leftovers; those of up to ``GROUP`` partitions are merged,
 the emptiest filling the gaps of the fullest, until one window of all is short.
 
-Edge cases: null and empty texts are the end id alone; repeated rows are packed
-each by itself; an empty table gives no row. Ids stay in order within a document,
-and each lies in one piece.
+Edge cases: null and empty texts are the end id alone; a text longer than a
+sequence is cut into pieces, however many; repeated rows are packed each by itself,
+null ids too; of windows that a piece fits equally well the oldest takes it; an
+empty table gives no row; columns beside the id and the text aren't read, whatever
+their names. Ids stay in order within a document, and each lies in one piece.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import slices, small_batches, text_of, written
+from souk.llm.common import slices, text_of, written
 from souk.llm.token_cache import library_encoder
 
 SIZE = 4096
@@ -103,7 +105,7 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 2, size: int = SIZ
     The texts are not shuffled: each task encodes and packs what it reads. Only
     the leftovers (at most ``n_open`` windows a partition) move.
     """
-    source = small_batches(docs).select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kinds = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_REST}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
