@@ -7,33 +7,40 @@ links connect.
 
 A shingle's count is discretised into the levels [0,1), [1,2), [2,4), [4,8) ...
 and each level of each shingle has a Poisson process of its own, seeded by the
-shingle and the level, whose points fall on random registers. The process of a
-level that the count covers in part is halved again and again to find which
-points lie below the count. The earliest point of each register is the
-signature: two texts agree in a register with a probability of their weighted
-Jaccard similarity. Points are made in order of time, and only up to the time by
-which all registers are filled, so a long text costs little more than hashing.
-
-Texts of equal words are one entry. Bands of the signature give buckets; of
+shingle and the level. A process over several cells splits at its earliest point:
+a coin says which half has that point, and the other half's process goes on from
+there. Halves above the count are dropped, so of a count of many cells only those
+are reached that have early points: as many as there are points, times the
+logarithm of the count. Points of single cells fall on random registers, and the
+earliest point of each register is the signature: two texts agree in a register
+with a probability of their weighted Jaccard similarity. Points are made in order
+of time, and only up to the time by which all registers are filled, so a long text
+costs little more than hashing.
+
+Texts of equal words (by a 128-bit cryptographic hash of the words in order) are one
+entry. Bands of the signature give buckets; of
 buckets with the same members one stays. In its bucket an entry carries its
 shingles, and overlaps are counted exactly, block by block: what leaves a block
 is an edge for each member of a class found there, never its pairs. A bucket is
 cut into blocks by the shingles it holds, so no task takes an unbounded group.
 
 Edge cases: null and empty texts and rows of a null id are classes of their own;
-repeated rows of an id each give a row; an empty table gives no row.
+repeated rows of an id each give a row; pairs exactly at the threshold are linked;
+texts of any length are compared whole; an empty table gives no row; columns beside
+the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import mix, segment_hash, slices, small_batches, text_of, words_of, written
+from souk.llm.common import mix, segment_hash, slices, text_of, words_of, written
 from souk.llm.components import connected
 
 SHINGLE = 5
@@ -79,49 +86,98 @@ def signatures(text: np.ndarray, h: np.ndarray, count: np.ndarray, n_texts: int,
     level = np.arange(len(owner)) - np.repeat(np.cumsum(levels) - levels, levels)
     low = np.where(level > 0, 1 << np.maximum(level - 1, 0), 0)
     size = np.where(level > 0, low, 1)
-    below = np.minimum(count[owner] - low, size)  # of the level's cells, those that the count covers
-    doc = text[owner]
-    seed = mix(h[owner] ^ (level.astype(np.uint64) * _TWO))
     total = np.bincount(text, weights=count, minlength=n_texts)
     until = (np.log(registers) + 3) / np.maximum(total, 1)
+    seed = _process(h[owner], low, size)
+    time = _gap(mix(seed + _ONE)) / (registers * size)
+    single = size == 1
+    cells = Cells(text[owner[single]], seed[single], time[single])
+    wide = Intervals(owner[~single], low[~single], size[~single], time[~single])
     earliest, identity = np.full(n_texts * registers, np.inf), np.zeros(n_texts * registers, np.uint64)
-    rate = registers * size.astype(np.float64)
-
-    def gap(points: np.ndarray) -> np.ndarray:
-        return -np.log(((points >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-
-    number = np.zeros(len(seed), np.uint64)
-    point = mix(seed + _ONE)
-    time = gap(point) / rate
     filled = total == 0
     while not filled.all():
-        active = np.flatnonzero(time <= until[doc])
+        while (early := wide.time <= until[text[wide.owner]]).any():
+            wide, found = wide.split(early, h, count, registers)
+            cells = cells.and_(Cells(text[found.owner], _process(h[found.owner], found.low, found.size), found.time))
+        active = np.flatnonzero(cells.time <= until[cells.doc])
         while len(active):
-            p = mix(point[active] ^ _TWO)
-            inside = np.ones(len(active), bool)
-            partial = np.flatnonzero(below[active] < size[active])
-            if len(partial):  # halve the level until the point's half lies wholly on one side of the count
-                a = active[partial]
-                place = mix(p[partial] ^ _ONE) & (size[a] - 1).astype(np.uint64)
-                inside[partial] = place.astype(np.int64) < below[a]
-            some, p = active[inside], p[inside]
-            slot = doc[some] * registers + (p % np.uint64(registers)).astype(np.int64)
-            np.minimum.at(earliest, slot, time[some])
-            first = earliest[slot] == time[some]
+            p, doc, time = mix(cells.point[active] ^ _TWO), cells.doc[active], cells.time[active]
+            slot = doc * registers + (p % np.uint64(registers)).astype(np.int64)
+            np.minimum.at(earliest, slot, time)
+            first = earliest[slot] == time
             identity[slot[first]] = p[first]
-            number[active] += np.uint64(1)
-            point[active] = mix(seed[active] + (number[active] + np.uint64(1)) * _ONE)
-            time[active] += gap(point[active]) / rate[active]
-            active = active[time[active] <= until[doc[active]]]
+            cells.advance(active, registers)
+            active = active[cells.time[active] <= until[doc]]
         filled = (total == 0) | np.isfinite(earliest.reshape(n_texts, registers)).all(axis=1)
         until = np.where(filled, -1.0, 2 * until)
     return identity.reshape(n_texts, registers)
 
 
+def _gap(points: np.ndarray) -> np.ndarray:
+    """Exponential waiting times of rate 1."""
+    return -np.log(((points >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+
+
+def _process(h: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The seed of a shingle's process over the cells low .. low + size: the same in every text."""
+    return mix(h ^ mix((low.astype(np.uint64) << np.uint64(32)) ^ size.astype(np.uint64)))
+
+
+@dataclass
+class Cells:
+    """Processes over one cell, each at a point."""
+
+    doc: np.ndarray
+    seed: np.ndarray
+    time: np.ndarray
+
+    def __post_init__(self):
+        self.number = np.zeros(len(self.seed), np.uint64)
+        self.point = mix(self.seed + _ONE)
+
+    def and_(self, more: Cells) -> Cells:
+        if not len(more.doc):
+            return self
+        out = Cells(*(np.concatenate(x) for x in ((self.doc, more.doc), (self.seed, more.seed), (self.time, more.time))))
+        out.number, out.point = np.concatenate([self.number, more.number]), np.concatenate([self.point, more.point])
+        return out
+
+    def advance(self, at: np.ndarray, registers: int) -> None:
+        """To the next point."""
+        self.number[at] += np.uint64(1)
+        self.point[at] = mix(self.seed[at] + (self.number[at] + np.uint64(1)) * _ONE)
+        self.time[at] += _gap(self.point[at]) / registers
+
+
+@dataclass
+class Intervals:
+    """Processes over several cells, each at its earliest point. ``owner``: the shingle."""
+
+    owner: np.ndarray
+    low: np.ndarray
+    size: np.ndarray
+    time: np.ndarray
+
+    def split(self, which: np.ndarray, h: np.ndarray, count: np.ndarray, registers: int) -> tuple[Intervals, Intervals]:
+        """(the processes left over several cells, new ones over one cell): those of
+        ``which`` are halved, and halves above the shingle's count dropped."""
+        owner, half, time = self.owner[which], self.size[which] // 2, self.time[which]
+        upper = (mix(_process(h[owner], self.low[which], self.size[which]) ^ _TWO) & np.uint64(1)).astype(bool)  # has the point
+        kept = [(self.owner[~which], self.low[~which], self.size[~which], self.time[~which])]
+        for side in (False, True):
+            low = self.low[which] + half * side
+            later = time + _gap(mix(_process(h[owner], low, half) + _ONE)) / (registers * half)
+            below = low < count[owner]
+            kept.append((owner[below], low[below], half[below], np.where(upper == side, time, later)[below]))
+        made = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        single = made[2] == 1
+        return Intervals(*(x[~single] for x in made)), Intervals(*(x[single] for x in made))
+
+
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, key1 and key2 (of the words in order), total (shingles), bands. A
     narrow map."""
-    source = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -132,10 +188,10 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             bands = np.tile(mix(np.arange(BANDS, dtype=np.uint64)), (n, 1))
             for k in range(ROWS):
                 bands = mix(bands ^ sig[:, k * BANDS : (k + 1) * BANDS])
-            keys = [segment_hash(x, words.first[:-1], words.first[1:]).view(np.int64) for x in (words.hashes, mix(words.hashes ^ _TWO))]
+            keys = words.keys()
             total = np.bincount(text, weights=count, minlength=n).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS), pa.int32()), pa.array(bands.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[0]), pa.array(keys[1]), pa.array(total), lists], names=["id", "key1", "key2", "total", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(total), lists], names=["id", "key1", "key2", "total", "bands"])
 
     return source.mapInArrow(work, "id long, key1 long, key2 long, total long, bands array<long>")
 
