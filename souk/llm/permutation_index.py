@@ -2,9 +2,15 @@
 
 A vector is represented by the order of its nearest pivots. It is posted in the
 inverted files of its ``POSTED`` nearest pivots; a query reads the files of its
-``READ`` nearest, ranks what it finds there by Spearman's footrule between the
-orders, and reranks the best share of each file by cosine with the original
-vectors.
+nearest ones, ranks what it finds there by Spearman's footrule between the orders,
+and reranks the best share of each file by cosine with the original vectors.
+
+The number of pivots grows with the root of the number of vectors. How many files a
+query reads and which share is reranked is fitted: the least that finds ``FOUND`` of
+the true neighbours of ``PROBES`` rows within a bounded sample. Where vectors have
+clusters a query then reads few files; where they point everywhere alike no order of
+pivots tells much, and it has to read a good part of the table. The index holds every
+row.
 
 A file is read in blocks of about ``BLOCK`` postings, and the queries of a file
 in blocks too, so a common pivot doesn't make a large task; a block gives each
@@ -13,30 +19,40 @@ of their least ids as an answer can need.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do rows without an id; vectors of another length than that of
-most are searched among themselves; ties go to the smaller id; a query with fewer
-candidates gets all of them; an empty table gives no row.
+most are searched among themselves; ties go to the smaller id; repeated rows of an
+id count once; a query with fewer candidates gets all of them; an empty table gives
+no row; columns beside the id and the vector may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from souk.llm.common import written
 from souk.llm.vectors import matrix, sample, unit, usable
 
-PIVOTS, POSTED, READ = 128, 8, 24
-#: Of a block: the share that is reranked, and how many at least.
-SHARE, AT_LEAST = 0.12, 64
+#: Least and most pivots, files that hold a vector, pivots of its order that are kept.
+LEAST, MOST, POSTED, KEPT = 128, 4096, 8, 256
+#: Rows of a block that are reranked at least.
+AT_LEAST = 64
 BLOCK, QUERY_BLOCK = 4096, 512
-SAMPLE = 10_000
+SAMPLE, PROBES, NEIGHBOURS, FOUND = 10_000, 256, 5, 0.98
+
+
+def pivots_for(n: int) -> int:
+    """About the root of ``n``, as a power of two."""
+    return min(MOST, max(LEAST, 1 << round(math.log2(max(1, n)) / 2)))
 
 
-def choose_pivots(x: np.ndarray, n: int = PIVOTS, seed: int = 3) -> np.ndarray:
+def choose_pivots(x: np.ndarray, n: int = LEAST, seed: int = 3) -> np.ndarray:
     """Rows of the sample, no two nearly alike: a row that is close to a chosen
     pivot is passed over as long as others are left. If those are too few, the rows
     passed over fill up, the one farthest from all pivots first."""
@@ -53,19 +69,56 @@ def choose_pivots(x: np.ndarray, n: int = PIVOTS, seed: int = 3) -> np.ndarray:
     return x[chosen]
 
 
-def orders(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pivots from nearest to farthest, place of each pivot) for each row."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    return order, np.argsort(order, axis=1, kind="stable").astype(np.uint8)
+def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The numbers of the ``KEPT`` nearest pivots of each row, nearest first."""
+    near = -(x @ pivots.T)
+    if KEPT < len(pivots):
+        some = np.argpartition(near, KEPT - 1, axis=1)[:, :KEPT]
+        some.sort(axis=1)
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1).astype(np.uint16)
+    return np.argsort(near, axis=1, kind="stable").astype(np.uint16)
+
+
+def places_of(order: np.ndarray, n: int) -> np.ndarray:
+    """Of each row the place of each of the ``n`` pivots; those that an order doesn't
+    hold share the place after its last."""
+    out = np.full((len(order), n), order.shape[1], np.int16)
+    np.put_along_axis(out, order.astype(np.int64), np.arange(order.shape[1], dtype=np.int16)[None, :], axis=1)
+    return out
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How many files a query reads, and the share of a block that is reranked."""
+
+    files: int
+    share: float
+
+
+def fit_reading(x: np.ndarray, pivots: np.ndarray, probes: int = PROBES) -> Reading:
+    """The least that finds ``FOUND`` of the neighbours of some rows among the sample."""
+    order = orders(x, pivots)
+    place = places_of(order, len(pivots))
+    files, shares = [], []
+    for i in range(min(probes, len(x))):
+        cosine = x @ x[i]
+        cosine[i] = -2
+        near = np.argsort(-cosine, kind="stable")[: min(NEIGHBOURS, len(x) - 1)]
+        files.append(place[i][order[near, :POSTED]].min(axis=1) + 1)
+        footrule = np.abs(place - place[i]).sum(axis=1, dtype=np.int32)
+        shares.append(np.searchsorted(np.sort(footrule), footrule[near], "right") / len(x))
+    if not files:
+        return Reading(1, 1.0)
+    most = np.quantile(np.concatenate(files), FOUND, method="higher")
+    return Reading(int(min(most, order.shape[1])), float(np.quantile(np.concatenate(shares), FOUND, method="higher")))
 
 
-def search_block(places: np.ndarray, x: np.ndarray, reps: np.ndarray, q_places: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(places: np.ndarray, x: np.ndarray, reps: np.ndarray, q_places: np.ndarray, q: np.ndarray, k: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, rows, cosines) of the ``k`` best of a block for each query. Rows with
     the footrule of the last one that is reranked are reranked with it."""
-    keep = min(len(x), max(AT_LEAST, int(len(x) * SHARE)))
-    wide = places.astype(np.int16)
+    keep = min(len(x), max(AT_LEAST, math.ceil(len(x) * share)))
     for i in range(len(q)):
-        footrule = np.abs(wide - q_places[i].astype(np.int16)).sum(axis=1, dtype=np.int32)
+        footrule = np.abs(places - q_places[i]).sum(axis=1, dtype=np.int32)
         near = np.flatnonzero(footrule <= np.partition(footrule, keep - 1)[keep - 1]) if keep < len(x) else np.arange(len(x))
         cosine = (x[near] * q[i]).sum(axis=1)
         best = np.lexsort((reps[near], -cosine))[:k]
@@ -79,7 +132,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     rows = rows.filter(F.col(f"id.{id_col}").isNotNull()).select(F.col(f"id.{id_col}").alias("id"), F.col("id._q").alias("asks"), "vector")
     entries = written(rows.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("asks").alias("asks")), "ann-entries")
     kind = vectors.schema[id_col].dataType.simpleString()
-    parts = [_of_length(entries.filter(F.size("vector") == d), k + 1) for (d,) in entries.select(F.size("vector")).distinct().collect()]
+    # components that came as floats are held as floats: the same numbers in half the bytes
+    narrow = isinstance(vectors.schema[vector_col].dataType, T.ArrayType) and isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
+    parts = [_of_length(entries.filter(F.size("vector") == d), n, k + 1, "<f4" if narrow else "<f8") for d, n in entries.groupBy(F.size("vector")).count().collect()]
     if not parts:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
     found = parts[0]
@@ -97,35 +152,37 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     return out.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _of_length(entries: DataFrame, k: int) -> DataFrame:
+def _of_length(entries: DataFrame, n: int, k: int, held: str) -> DataFrame:
     """rep (of a query's entry), near (of an answer's), score: the ``k`` best of
-    each block for each query that reads it."""
-    pivots = choose_pivots(sample(entries, SAMPLE))
-    shared = entries.sparkSession.sparkContext.broadcast(pivots)
+    each block for each query that reads it. ``held``: the type of a component."""
+    some = sample(entries, SAMPLE)
+    pivots = choose_pivots(some, pivots_for(n))
+    reading = fit_reading(some, pivots)
+    shared = entries.sparkSession.sparkContext.broadcast(pivots)  # at most MOST vectors
+    kept = min(KEPT, len(pivots))
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                x = unit(matrix(batch.column("vector")))
-                nearest, places = orders(x, shared.value)
+                x = matrix(batch.column("vector"))
+                nearest = orders(unit(x), shared.value)
                 as_bytes = lambda m, kind: pa.array([r.tobytes() for r in np.ascontiguousarray(m, kind)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("asks"), as_bytes(x, "<f8"), as_bytes(places, "u1"), pa.array(nearest[:, :READ].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["rep", "asks", "unit", "places", "nearest"])
-
-    ordered = written(entries.mapInArrow(order, "rep long, asks boolean, unit binary, places binary, nearest array<int>"), "ann-orders")
-    index = ordered.select("rep", "unit", "places", F.explode(F.slice("nearest", 1, POSTED)).alias("pivot"))
-    queries = ordered.filter("asks").select("rep", "unit", "places", F.explode("nearest").alias("pivot"))
-    blocks = lambda posts, size: F.array(*(F.lit(-(-counts.get(p, 0) // size)) for p in range(len(pivots))))
-    counts = {p: n for p, n in index.groupBy("pivot").count().collect()}  # a row for each pivot
-    index_blocks = blocks(index, BLOCK)
-    counts = {p: n for p, n in queries.groupBy("pivot").count().collect()}
-    query_blocks = blocks(queries, QUERY_BLOCK)
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("asks"), as_bytes(x, held), as_bytes(nearest, "<u2"), pa.array(nearest[:, : max(POSTED, reading.files)].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["rep", "asks", "vector", "order", "nearest"])
+
+    ordered = written(entries.mapInArrow(order, "rep long, asks boolean, vector binary, order binary, nearest array<int>"), "ann-orders")
+    index = ordered.select("rep", "vector", "order", F.explode(F.slice("nearest", 1, POSTED)).alias("pivot"))
+    queries = ordered.filter("asks").select("rep", "vector", "order", F.explode(F.slice("nearest", 1, reading.files)).alias("pivot"))
+    blocks = lambda counts, size: F.array(*(F.lit(-(-counts.get(p, 0) // size)) for p in range(len(pivots))))
+    sizes = lambda posts: {p: c for p, c in posts.groupBy("pivot").count().collect()}  # noqa: E731  a row for each pivot
+    index_blocks, query_blocks = blocks(sizes(index), BLOCK), blocks(sizes(queries), QUERY_BLOCK)
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     each = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
     n_index, n_query = F.get(index_blocks, F.col("pivot")), F.get(query_blocks, F.col("pivot"))
-    left = index.select("pivot", own(n_index).alias("block"), each(n_query).alias("asked"), F.struct(F.lit(False).alias("asks"), "rep", "unit", "places").alias("m"))
-    right = queries.filter(n_index > 0).select("pivot", each(n_index).alias("block"), own(n_query).alias("asked"), F.struct(F.lit(True).alias("asks"), "rep", "unit", "places").alias("m"))
+    left = index.select("pivot", own(n_index).alias("block"), each(n_query).alias("asked"), F.struct(F.lit(False).alias("asks"), "rep", "vector", "order").alias("m"))
+    right = queries.filter(n_index > 0).select("pivot", each(n_index).alias("block"), own(n_query).alias("asked"), F.struct(F.lit(True).alias("asks"), "rep", "vector", "order").alias("m"))
     cells = left.unionByName(right).groupBy("pivot", "block", "asked").agg(F.collect_list("m").alias("members"))
+    n_pivots, share = len(pivots), reading.share
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +192,9 @@ def _of_length(entries: DataFrame, k: int) -> DataFrame:
                 asks, reps = m.field("asks").to_numpy(zero_copy_only=False), m.field("rep").to_numpy()
                 if asks.all() or not asks.any():
                     continue
-                x = np.frombuffer(b"".join(m.field("unit").to_pylist()), "<f8").reshape(len(m), -1)
-                places = np.frombuffer(b"".join(m.field("places").to_pylist()), "u1").reshape(len(m), -1)
-                found = [(np.full(len(rows), reps[asks][j]), reps[~asks][rows], cosine) for j, rows, cosine in search_block(places[~asks], x[~asks], reps[~asks], places[asks], x[asks], k)]
+                x = unit(np.frombuffer(b"".join(m.field("vector").to_pylist()), held).reshape(len(m), -1).astype(np.float64))
+                places = places_of(np.frombuffer(b"".join(m.field("order").to_pylist()), "<u2").reshape(len(m), kept), n_pivots)
+                found = [(np.full(len(rows), reps[asks][j]), reps[~asks][rows], cosine) for j, rows, cosine in search_block(places[~asks], x[~asks], reps[~asks], places[asks], x[asks], k, share)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["rep", "near", "score"])
 
     return cells.mapInArrow(seek, "rep long, near long, score double")
