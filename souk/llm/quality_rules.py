@@ -5,9 +5,14 @@ paths, each a conjunction of comparisons; a lasso logistic regression leaves few
 of them a weight, and those are compiled back into one Spark column, so scoring
 is a narrow map without Python.
 
-Edge cases: null and empty texts have statistics of 0 and a score; labels that
-are null are not learnt from; repeated rows each give a row; without rows of both
-labels the score is the smoothed share of label 1.
+Rules are grown and weighed in one task of an executor, over the statistics of a
+bounded sample.
+
+Edge cases: null and empty texts have statistics of 0 and a score; statistics are
+of whole texts, however long; labels that are null are not learnt from; repeated
+rows each give a row, null ids too; of rules that hold for the same rows the first
+stays; without rows of both labels, or with too few to split, the score is the smoothed share of label 1; an
+empty table gives no row; columns of ``docs`` may have the names of statistics.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import labelled_sample, text_of
+from souk.llm.common import fitted, labelled_sample, text_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id).
 SAMPLE = 20_000
@@ -134,10 +139,10 @@ class RuleModel:
 
 
 def learn(stats: np.ndarray, labels: np.ndarray) -> RuleModel:
-    if not len(labels) or labels.min() == labels.max():
+    rules = grow(stats, labels) if len(labels) and labels.min() < labels.max() else []
+    if not rules:  # nothing to tell apart, or too few rows for a leaf
         share = (labels.sum() + 0.5) / (len(labels) + 1)
         return RuleModel(float(np.log(share / (1 - share))), [])
-    rules = grow(stats, labels)
     matrix = np.stack([holds(r, stats) for r in rules], axis=1).astype(np.float64)
     seen: dict[bytes, int] = {}
     for i in range(len(rules)):  # of rules that hold for the same rows the first stays
@@ -148,11 +153,12 @@ def learn(stats: np.ndarray, labels: np.ndarray) -> RuleModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
-    """Learns from the labelled rows of ``docs``, at most ``sample`` of them; only
-    their statistics reach the driver. Rows are picked by the hash of their ids."""
-    rows = labelled_sample(docs, labels, label, sample, id_col)
-    picked = statistics(rows, id_col, text_col, keep={"_label": F.col("_label")}).withColumn("_order", F.xxhash64(id_col)).orderBy("_order", *FEATURES).limit(sample).select("_label", *FEATURES).toPandas()
-    return learn(picked[FEATURES].to_numpy(np.float64), picked["_label"].to_numpy(np.float64))
+    """Learns from the labelled rows of ``docs``, at most ``sample`` of them, picked
+    by the hash of their ids."""
+    rows, told = labelled_sample(docs, labels, label, sample, id_col)
+    made = statistics(rows, id_col, text_col, keep={"_label": F.col(told)}).withColumn("_order", F.xxhash64(id_col))
+    picked = made.orderBy("_order", *FEATURES).limit(sample).select("_label", *FEATURES)
+    return fitted(picked, lambda t: learn(np.stack([t[c].to_numpy() for c in FEATURES], axis=1).astype(np.float64), t["_label"].to_numpy().astype(np.float64)))
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

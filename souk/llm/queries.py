@@ -72,7 +72,7 @@ FROM marked GROUP BY conv_id
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = doc_crc() % 3 == 1
+    held_out = F.coalesce(doc_crc() % 3 == 1, F.lit(False))
     model = quality_rules.train(docs.filter(~held_out), labels.filter(~held_out))
     return quality_rules.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
@@ -88,7 +88,7 @@ def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = doc_crc() % 4 == 2
+    held_out = F.coalesce(doc_crc() % 4 == 2, F.lit(False))
     model = toxic_crf.train(docs.filter(~held_out), labels.filter(~held_out))
     return toxic_crf.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 

@@ -7,24 +7,30 @@ neighbours as features, hashed, and how labels follow each other. Forward-backwa
 marginals give spans with their places; a logistic curve over their sums gives
 the document's score.
 
+Training runs in one task of an executor, over a bounded sample.
+
 Edge cases: null and empty texts have no spans and the score of a document
-without any; null labels aren't learnt from; repeated texts are learnt from once;
-without rows of both labels the score is the smoothed share of toxic rows.
+without any; texts of any length are tagged whole, cut into segments for the
+recursions alone; null labels aren't learnt from; repeated texts are learnt from
+once; repeated rows each give a row, null ids too; without rows of both labels the
+score is the smoothed share of toxic rows; an empty table gives no row; columns
+beside the id and the text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.llm.bag_minhash import shingles
-from souk.llm.common import labelled_sample, mix, slices, small_batches, text_buffer, text_of, words_of
+from souk.llm.common import fitted, labelled_sample, mix, slices, text_buffer, text_of, words_of
 
 #: Labelled rows to learn from at most (the first by a hash of the id), and of them for the field.
 SAMPLE, FIELD_SAMPLE = 10_000, 2_000
@@ -32,7 +38,7 @@ SAMPLE, FIELD_SAMPLE = 10_000, 2_000
 SLOTS, PASSES = 1 << 18, 25
 #: Words of a segment: documents are cut into rows of so many for the recursions.
 SEGMENT = 256
-SLICE = 4 << 20
+SLICE = 1 << 20
 _SEEDS = [np.uint64(x * 0x9E3779B97F4A7C15 % 2**64) for x in range(1, 6)]
 
 
@@ -266,26 +272,45 @@ def learn(texts: pa.Array, labels: np.ndarray) -> ToxicModel:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Learns from the labelled rows of ``docs``, at most ``sample`` of them, picked
     by the hash of their ids; near copies are told from once."""
-    rows = labelled_sample(docs, labels, label, sample, id_col).select(F.col(id_col), text_of(text_col).alias("_text"), "_label")
-    picked = rows.orderBy(F.xxhash64(id_col), "_text").limit(sample).select("_text", "_label").toArrow()
-    _, once = np.unique(np.array([hash(x.as_buffer().to_pybytes() if x.as_buffer() else b"") for x in picked["_text"]], np.int64), return_index=True)
-    picked = picked.take(pa.array(np.sort(once)))
-    return learn(picked["_text"].combine_chunks(), picked["_label"].to_numpy())
+    rows, told = labelled_sample(docs, labels, label, sample, id_col)
+    rows = rows.select(F.xxhash64(id_col).alias("_order"), text_of(text_col).alias("_text"), F.col(told).alias("_label"))
+    return fitted(rows.orderBy("_order", "_text").limit(sample), learn_table)
+
+
+def learn_table(rows: pa.Table) -> ToxicModel:
+    """From _text and _label; the first of equal texts counts."""
+    seen: set[bytes] = set()
+    new = []
+    for text in rows["_text"]:
+        key = blake2b(text.as_buffer() or b"", digest_size=16).digest()
+        new.append(key not in seen)
+        seen.add(key)
+    rows = rows.filter(pa.array(new, pa.bool_()))
+    return learn(rows["_text"].combine_chunks(), rows["_label"].to_numpy())
 
 
-def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", level: float = 0.5, keep: dict[str, Column] | None = None) -> DataFrame:
-    """A row for each row of ``docs``: id, the columns of ``keep`` (name: column
-    of ``docs``), score (0 to 1), n_words, spans (array of
+def tag(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", level: float = 0.5, whole: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: id, score (0 to 1), n_words, spans (array of
     start and end in characters, score: runs of words whose marginal is at least
-    ``level``). A narrow map over whole texts."""
-    carried = list(keep or {})
-    source = small_batches(docs).select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *(c.alias(name) for name, c in (keep or {}).items()))
-    out = T.StructType([f for f in source.schema if f.name != "_text"]).add("score", "double").add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("score", "double")))
+    ``level``); if ``whole``, _row, too, a struct of all columns of ``docs``. A narrow
+    map over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: SLOTS weights
+    if whole:
+        source = docs.select(F.col(id_col).alias("_id"), F.struct(*(F.col(c) for c in docs.columns)).alias("_row"))
+    else:
+        source = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    carried = ["_row"] if whole else []
+    place = docs.columns.index(text_col)
+    out = T.StructType([f for f in source.schema if f.name != "_text"]).add("score", "double").add("n_words", "long").add("spans", T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("score", "double")))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The text out of the row, which holds it once."""
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_row"), b.column("_row").field(place).cast(pa.string())], names=["_id", "_row", "_text"]) if whole else b
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "_text", SLICE):
+        for batch in slices(texts(batches), "_text", SLICE):
             slots, first, words = features(batch.column("_text"))
             marginals = model.marginals(slots, first)
             hit = np.flatnonzero(marginals >= level)
