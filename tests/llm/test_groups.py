@@ -94,6 +94,29 @@ def test_signatures_estimate_weighted_jaccard():
     assert (sig[0] == sig[1]).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.04)
 
 
+def test_large_counts_split_few_processes(monkeypatch):
+    """As many as there are points, times the logarithm of the count."""
+    made, split = [], bag_minhash.Intervals.split
+
+    def counted(self, *a):
+        left, found = split(self, *a)
+        made.append(len(found.low))
+        return left, found
+
+    monkeypatch.setattr(bag_minhash.Intervals, "split", counted)
+    h = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a, b = np.array([1_000_000, 3, 1]), np.array([800_000, 3, 1])
+    sig = bag_minhash.signatures(np.repeat([0, 1], 3), np.concatenate([h, h]), np.concatenate([a, b]), 2, registers=1000)
+    assert (sig[0] == sig[1]).mean() == pytest.approx(0.8, abs=0.04)
+    assert sum(made) < 60_000
+
+
+def test_texts_that_fool_powers_of_two(spark):
+    rows = [(i, " ".join(("alpha", "beta")[(bin(k).count("1") + i) % 2] for k in range(1024))) for i in range(2)]
+    got = {r["doc_id"]: r["class_id"] for r in bag_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {r["id"]: r["component"] for r in connected(links).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
@@ -158,10 +181,10 @@ def test_tables_hold_their_recall():
         x = choose.normal(size=(2000, 64)) / 8 * (1 - shared**2) ** 0.5
         x[:, 0] += shared
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        mean, _, bits, tables = itq_dedup.fit(x, 50_000, 0.9)
-        angle = itq_dedup.centred_angle(0.9, np.linalg.norm(x - mean, axis=1).min())
-        assert 1 - (1 - (1 - angle / np.pi) ** bits) ** tables >= 0.999 - 1e-9
-        assert bits or shared > 0.6
+        codes = itq_dedup.fit(x, 50_000, 0.9)
+        angle = itq_dedup.centred_angle(0.9, np.linalg.norm(x - codes.mean, axis=1).min())
+        assert 1 - (1 - (1 - angle / np.pi) ** codes.bits) ** codes.tables >= 0.999 - 1e-9
+        assert codes.bits or shared > 0.6
 
 
 def test_rotation_balances_codes():
@@ -190,7 +213,7 @@ def test_neighbours_in_a_narrow_cone(spark):
     x[:, 0] += 1
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
     close = cosines(rows)
-    assert close.min() > 0.8 and len(permutation_index.choose_pivots(np.array([v for _, v in rows]) / np.linalg.norm(x, axis=1, keepdims=True))) == permutation_index.PIVOTS
+    assert close.min() > 0.8 and len(permutation_index.choose_pivots(np.array([v for _, v in rows]) / np.linalg.norm(x, axis=1, keepdims=True), 128)) == 128
     got = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
     np.fill_diagonal(close, -1)
     hits = sum(len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-close[q])[:5].tolist())) for q in range(0, n, 50))
@@ -201,8 +224,8 @@ def test_rows_tied_at_the_cut_are_reranked():
     """All orders alike: the whole block is reranked."""
     x = np.random.default_rng(4).normal(size=(2000, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    places = np.zeros((2000, 3), np.uint8)
-    for i, rows, _ in permutation_index.search_block(places, x, np.arange(2000), places[:20], x[:20], 5):
+    places = np.zeros((2000, 3), np.int16)
+    for i, rows, _ in permutation_index.search_block(places, x, np.arange(2000), places[:20], x[:20], 5, 0.05):
         assert rows.tolist() == np.argsort(-(x @ x[i]))[:5].tolist()
 
 
@@ -233,6 +256,24 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_copies", "packing"]
 
 
+def test_reading_is_fitted_to_the_vectors():
+    choose = np.random.default_rng(6)
+    spread = choose.normal(size=(2000, 32))
+    close = choose.normal(size=(40, 32))[choose.integers(0, 40, 2000)] + 0.3 * choose.normal(size=(2000, 32))
+    few, many = (permutation_index.fit_reading(x, permutation_index.choose_pivots(x, 128)) for x in (y / np.linalg.norm(y, axis=1, keepdims=True) for y in (close, spread)))
+    assert few.files < many.files and few.share < many.share
+    assert [permutation_index.pivots_for(n) for n in (0, 10**4, 5 * 10**4, 10**6, 10**12)] == [128, 128, 256, 1024, 4096]
+
+
+def test_orders_of_more_pivots_than_are_kept(monkeypatch):
+    monkeypatch.setattr(permutation_index, "KEPT", 5)
+    x = np.random.default_rng(2).normal(size=(50, 8))
+    order = permutation_index.orders(x, x[:20])
+    assert (order == np.argsort(-(x @ x[:20].T), axis=1)[:, :5]).all()
+    places = permutation_index.places_of(order, 20)
+    assert (places[np.arange(50)[:, None], order] == np.arange(5)).all() and (np.sort(places, axis=1)[:, 5:] == 5).all()
+
+
 def test_each_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in queries.QUERIES
 

@@ -78,7 +78,7 @@ def test_token_file_gives_random_access(tmp_path):
         for i, part in enumerate(np.array_split(random_ids, 7)):
             writer.add(i if i else None, part)
         writer.close()
-    reader = token_files.Reader((tmp_path / "f").read_bytes())
+    reader = token_files.Reader(open(tmp_path / "f", "rb"))
     assert reader.docs[0] == token_files.NO_ID and (reader.tokens(0, 20_000) == random_ids).all()
     assert (reader.tokens(4000, 8300) == random_ids[4000:8300]).all() and not len(reader.tokens(5, 5))
 
@@ -134,6 +134,54 @@ def test_byte_bpe_is_that_of_tiktoken(spark, sf_dir, odd):
         assert (mine["n_tokens"], mine["ids_text"], bytes(mine["text_bytes"])) == (len(ids), " ".join(map(str, ids)), (row["text"] or "").encode())
 
 
+def thue_morse(n, a, b):
+    """Sequences on which polynomials modulo a power of two collide with their complements."""
+    return [b if bin(i).count("1") % 2 else a for i in range(n)], [a if bin(i).count("1") % 2 else b for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_no_sequence_is_taken_for_its_complement(n):
+    letters = ["".join(x) for x in thue_morse(n, "a", "b")]
+    codec = byte_bpe.Codec.from_file(tokens.path("byte_bpe_50k.tiktoken"))
+    bytes_of, encoder = byte_bpe.decoder(tokens.path("byte_bpe_50k.tiktoken")), byte_bpe.unit_encoder(codec, tokens.PATTERN)
+    ids, starts = encoder.encode(pa.array(letters))
+    assert [bytes_of(ids[starts[i] : starts[i + 1]]).tobytes().decode() for i in range(2)] == letters
+    for name, special, words in (("byte_bpe_50k.json", ("<|endoftext|>",), False), ("word_bpe_49k.json", ("<|startoftext|>", "<|endoftext|>"), True)):
+        library = Tokenizer.from_file(tokens.path(name))
+        ids, starts = library_encoder(tokens.path(name), special, words).encode(pa.array(letters))
+        assert [ids[starts[i] : starts[i + 1]].tolist() for i in range(2)] == [library.encode(t, add_special_tokens=False).ids for t in letters]
+    words = words_of(pa.array([" ".join(x) for x in thue_morse(n, "alpha", "beta")] + letters))
+    assert len({tuple(k) for k in words.keys().tolist()}) == 4 and len({*words.hashes.tolist()}) == 4
+
+
+def test_units_of_equal_numbers_differ():
+    """Zero bytes count, and so does the length."""
+    texts = ["a", "a\0", "\0", "\0\0", "a" * 15, "a" * 16, "a" * 17, "abcdefgh", "abcdefgh\0"]
+    library, encoder = Tokenizer.from_file(tokens.path("byte_bpe_50k.json")), library_encoder(tokens.path("byte_bpe_50k.json"), ("<|endoftext|>",), False)
+    ids, starts = encoder.encode(pa.array(texts * 3))
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts] * 3
+
+
+def test_the_unit_table_is_bounded(monkeypatch):
+    from souk.llm.token_cache import Encoder, UnitTable, library_units
+
+    monkeypatch.setattr(UnitTable, "LIMIT", 50)
+    path = tokens.path("byte_bpe_50k.json")
+    library, encoder, choose = Tokenizer.from_file(path), Encoder(*library_units(path)), random.Random(9)
+    for _ in range(30):
+        texts = ["".join(choose.choice("abcdef   ") for _ in range(60)) for _ in range(5)]
+        ids, starts = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.table.count < 50 + 300
+
+
+def test_other_patterns_encode_by_whole_texts(spark, odd):
+    path, pattern = tokens.path("byte_bpe_50k.tiktoken"), r"\p{L}+|\P{L}"
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    got = {r["doc_id"]: bytes(r["ids"]) for r in byte_bpe.encode(odd, path, pattern).collect()}
+    assert all(np.frombuffer(got[r["doc_id"]], "<u4").tolist() == theirs.encode_ordinary(r["text"] or "") for r in odd.collect())
+
+
 def test_long_pieces_merge_alike():
     codec = byte_bpe.Codec.from_file(tokens.path("byte_bpe_50k.tiktoken"))
     choose = random.Random(5)
@@ -184,6 +232,25 @@ def test_chat_log_is_folded(spark):
     assert chat.fold(spark.createDataFrame([], "conv_id long, seq long, kind string, turn long, role string, text string")).count() == 0
 
 
+ROLES = ["a|>b", "|>", ">x", "x<", "<|", "user", "", None, "␛2", "a|"]
+
+
+def test_roles_and_texts_read_back(spark):
+    rows = [(i, j, role, text) for i, text in enumerate(["hello", "|>hello", "<|end|>\n", "␛1␛0␛", "", None]) for j, role in enumerate(ROLES)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.fold(chat.events_of(frame)))
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out.select("conv_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert got == {i: [(r or "", text or "") for c, _, r, text in rows if c == i] for i in range(6)}
+
+
+def test_the_log_has_all_kinds_of_events(spark, sf_dir):
+    log = chat.events_of(table(spark, sf_dir, "conversations"))
+    kinds = {r["kind"]: r["n"] for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and min(kinds.values()) > 10
+    assert log.count() > table(spark, sf_dir, "conversations").count()
+    assert log.groupBy("conv_id", "seq").count().filter("count > 1").isEmpty()
+
+
 def test_conversations_read_back(spark, sf_dir):
     got = {r["conv_id"]: r for r in queries.op6_chat_format(spark, sf_dir).collect()}
     convs: dict = {-1: [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]}
@@ -201,15 +268,39 @@ def _held_out(rows, mod, rest):
     return [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % mod == rest]
 
 
-@pytest.mark.parametrize(("name", "label", "mod", "rest", "least"), [("op7_quality_rules", "quality", 3, 1, 0.9), ("op10_toxic_crf", "toxic", 4, 2, 0.85)])
-def test_classifiers_on_held_out_rows(spark, name, label, mod, rest, least):
-    sf = "/root/testdata/sf0.01"
+def figures(rows, gold, label):
+    """Precision, recall and the area under the curve over held-out labelled rows."""
+    score = np.array([r["score"] for r in rows])
+    true = np.array([gold[r["doc_id"]][label] for r in rows]) == 1
+    predicted = np.array([r["predicted"] for r in rows]) == 1
+    wins = (score[true][:, None] > score[~true]).mean() + 0.5 * (score[true][:, None] == score[~true]).mean()
+    return (predicted & true).sum() / max(1, predicted.sum()), (predicted & true).sum() / true.sum(), wins
+
+
+@pytest.mark.parametrize(("name", "label", "mod", "rest", "sf", "least"), [
+    ("op7_quality_rules", "quality", 3, 1, "sf0.01", (0.95, 0.95, 0.97)),
+    # of 14 held-out rows labelled toxic 5 hold none of the words that the other toxic rows share
+    ("op10_toxic_crf", "toxic", 4, 2, "sf0.01", (0.9, 9 / 14, 0.85)),
+    ("op10_toxic_crf", "toxic", 4, 2, "sf0.1", (0.9, 0.8, 0.9)),
+])
+def test_classifiers_on_held_out_rows(spark, name, label, mod, rest, sf, least):
+    sf = f"/root/testdata/{sf}"
     rows = getattr(queries, name)(spark, sf).collect()
     assert len(rows) == table(spark, sf, "documents").count() and all(0 <= r["score"] <= 1 for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == rest) for r in rows)
-    gold = {r["doc_id"]: r[label] for r in table(spark, sf, "labels").collect()}
-    judged = [(r["predicted"], gold[r["doc_id"]]) for r in _held_out(rows, mod, rest) if r["doc_id"] in gold]
-    assert sum(a == b for a, b in judged) / len(judged) >= least
+    gold = {r["doc_id"]: r for r in table(spark, sf, "labels").collect()}
+    got = figures([r for r in _held_out(rows, mod, rest) if r["doc_id"] in gold], gold, label)
+    assert all(a >= b - 1e-9 for a, b in zip(got, least, strict=True)), got
+
+
+@pytest.mark.parametrize("module", [quality_rules, toxic_crf])
+def test_clashing_columns_and_null_ids(spark, odd, module):
+    """Names that the operators use themselves."""
+    docs = odd.withColumns({c: F.lit(1) for c in ("_id", "_label", "_row", "_order", "log_chars", "spans")}).unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, quality int, toxic int").withColumn("_id", F.lit(0))
+    model = module.train(docs, labels)
+    out = (module.score if module is quality_rules else module.tag)(docs, model)
+    assert out.count() == docs.count() and out.filter("score is null").isEmpty()
 
 
 def test_field_marginals_are_those_of_all_paths():
@@ -238,10 +329,10 @@ def test_spans_point_at_the_words(spark, odd):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     model = toxic_crf.train(docs, labels)
-    for r in toxic_crf.tag(docs, model, keep={"text": F.col("text")}).collect():
-        found = " ".join(r["text"][s["start"] : s["end"]] for s in r["spans"])
+    for r in toxic_crf.tag(docs, model, whole=True).collect():
+        found = " ".join(r["_row"]["text"][s["start"] : s["end"]] for s in r["spans"])
         assert ("idiot" in found) == bool(r["doc_id"] % 2) and (r["score"] > 0.5) == bool(r["doc_id"] % 2)
-    assert toxic_crf.tag(odd, model, keep={"score_": F.col("score")}).count() == odd.count()
+    assert toxic_crf.tag(odd.withColumns({"_id": F.lit(1), "_label": F.lit(2), "_text": F.lit(3)}), model, whole=True).count() == odd.count()
 
 
 def test_rules_hold_as_columns(spark, odd):
