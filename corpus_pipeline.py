@@ -18,7 +18,7 @@ from souk.llm.common import table, written
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least 0.3 go; the rest keep their columns."""
     model = toxic_crf.train(docs, table(spark, sf_dir, "labels"))
-    return toxic_crf.tag(docs, model, keep=_whole(docs)).filter("score < 0.3").select("_row.*")
+    return toxic_crf.tag(docs, model, whole=True).filter("score < 0.3").select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
