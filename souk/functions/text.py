@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from pyspark.sql import functions as F
 REPLICA = r"(?i)\b(rep|replica|1:1|unauthorized|dhgate)\b"
 INSPIRED_BY = r"(?i)\binspired\s+by\b"
 LOT = r"(?i)\b(bundle|lot of|x\s?\d+|set of|read description)\b"
-#: A token: a decimal, a number with #, or a word with inner hyphen or apostrophe.
-WORD = r"\d+\.\d+|#\d+|[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"
+#: A token, fixed: a decimal, a number with #, one letter with a hyphen and three letters or
+#: more (unless the hyphens go on), or letters and digits with inner apostrophes.
+WORD = r"\d+\.\d+|#\d+|(?<![\p{L}\p{N}])\p{L}-\p{L}{3,}(?:['’][\p{L}\p{N}]+)*(?![\p{L}\p{N}]|-[\p{L}\p{N}])|[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
 #: Letter sizes, and US sizes of EU footwear: fixed values.
 LETTER_SIZES = {"XXS": "XXS", "XS": "XS", "S": "S", "SMALL": "S", "M": "M", "MEDIUM": "M", "L": "L", "LARGE": "L", "XL": "XL", "XXL": "XXL", "2XL": "XXL", "OS": "OS", "ONE SIZE": "OS", "ONE SIZE FITS ALL": "OS"}
 EU_FOOTWEAR = {35: "3", 36: "4", 37: "5", 38: "6", 39: "7", 40: "7.5", 41: "8.5", 42: "9", 43: "10", 44: "11", 45: "12", 46: "13", 47: "14", 48: "15"}
@@ -21,28 +24,49 @@ def clean(value: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the alphabets with accents, and the one letter each stands for once it is
+    decomposed, its marks dropped and its case folded."""
+    pairs = []
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).casefold()
+        if len(bare) == 1 and bare != chr(code):
+            pairs.append((chr(code), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
+
+
 def fold(value: Column) -> Column:
-    """Lower-cased, accents and apostrophes dropped (the accents of Latin letters)."""
-    accented, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(value), accented + "'’", plain)
+    """Case folded; accents, combining marks and apostrophes dropped. Ligatures, which
+    stand for several letters, stay (but ß)."""
+    folded = F.translate(F.lower(value), _ACCENTED + "'’", _PLAIN)
+    return F.replace(F.regexp_replace(folded, r"\p{M}+", ""), F.lit("ß"), F.lit("ss"))
+
+
+#: Plurals: a fixed table of (ending, letters to cut, letters to add, least length); the first that fits.
+PLURALS = ((r"ies", 3, "y", 5), (r"(?:ss|sh|ch|x)es", 2, "", 4), (r"(?<![suio])s", 1, "", 4))
 
 
 def singular(token: Column) -> Column:
-    """Plurals to singulars by their endings."""
-    alone = (F.length(token) < 4) | ~token.rlike(r"^\p{L}+$")
-    cut = lambda n: F.substr(token, F.lit(1), F.length(token) - n)
-    return (
-        F.when(alone, token)
-        .when(token.endswith("ies") & (F.length(token) >= 5), F.concat(cut(3), F.lit("y")))
-        .when(token.rlike("(sses|shes|ches|xes)$"), cut(2))
-        .when(token.endswith("s") & ~token.rlike("(ss|us|is|os)$"), cut(1))
-        .otherwise(token)
-    )
+    """Plurals to singulars; tokens with anything but letters stay."""
+    out = F.when(~token.rlike(r"^\p{L}{4,}$"), token)
+    for ending, cut, add, least in PLURALS:
+        fits = token.rlike(f"{ending}$") & (F.length(token) >= least)
+        out = out.when(fits, F.concat(F.substr(token, F.lit(1), F.length(token) - cut), F.lit(add)))
+    return out.otherwise(token)
 
 
 def words(value: Column) -> Column:
-    """Folded, singular tokens."""
-    return F.transform(F.regexp_extract_all(fold(value), F.lit(WORD), F.lit(0)), lambda w: singular(F.replace(w, F.lit("-"), F.lit(""))))
+    """Folded, singular tokens. Of a decimal with nothing behind its point the whole number
+    stays; a word with one digit at its end is two tokens."""
+    def parts(surface: Column) -> Column:
+        norm = F.replace(fold(surface), F.lit("-"), F.lit(""))
+        split = F.array(F.regexp_extract(norm, r"^([a-z]{3,})(\d)$", 1), F.regexp_extract(norm, r"^([a-z]{3,})(\d)$", 2))
+        return F.when(norm.contains("."), F.array(F.regexp_replace(norm, r"\.0+$", ""))).when(norm.rlike(r"^[a-z]{3,}\d$"), split).otherwise(F.array(singular(norm)))
+
+    return F.flatten(F.transform(F.regexp_extract_all(value, F.lit(WORD), F.lit(0)), parts))
 
 
 def ngrams(tokens: Column, longest: int = 3) -> Column:
@@ -72,22 +96,26 @@ def slug(value: Column) -> Column:
     return F.trim(F.regexp_replace(fold(value), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+#: How a number of a size is read: rules of (what the size says, shift), the first that fits.
+SHIFTS = (("UK", 1), ("JP|CM", -18), ("", 0))
+#: Categories whose sizes are numbers: (category, least, most, prefix).
+NUMBERED = (("bottom|pant", 28, 40, "W"), ("foot|shoe|sneaker", 3, 18, "US "))
+
+
 def normal_size(value: Column, category: Column) -> Column:
     """Letters by a table; waists 28 to 40; footwear as US 3 to 18."""
-    up = F.trim(F.regexp_replace(F.upper(value), r"\s+", " "))
+    said = F.trim(F.regexp_replace(F.upper(value), r"\s+", " "))
     letters = F.create_map(*(F.lit(x) for pair in LETTER_SIZES.items() for x in pair))
-    eu = F.create_map(*(x for k, v in EU_FOOTWEAR.items() for x in (F.lit(k), F.lit(v).cast("decimal(6,1)"))))
-    number = F.nullif(F.regexp_extract(up, r"\d+(?:\.5)?", 0), F.lit("")).cast("decimal(6,1)")
-    waist = F.floor(number).cast("int")
-    kind = F.lower(F.coalesce(category, F.lit("")))
-    us = F.when(up.contains("EU"), F.try_element_at(eu, waist)).when(up.contains("UK"), number + 1).when(up.contains("JP") | up.contains("CM"), number - 18).otherwise(number)
-    shown = F.concat(F.lit("US "), F.regexp_replace(us.cast("decimal(6,1)").cast("string"), r"\.0$", ""))
-    return (
-        F.when(F.try_element_at(letters, up).isNotNull(), F.try_element_at(letters, up))
-        .when(number.isNull(), None)
-        .when(kind.rlike("bottom|pant"), F.when(waist.between(28, 40), F.concat(F.lit("W"), waist.cast("string"))))
-        .when(kind.rlike("foot|shoe|sneaker"), F.when(us.between(3, 18), shown))
-    )
+    european = F.create_map(*(x for k, v in EU_FOOTWEAR.items() for x in (F.lit(k), F.lit(v).cast("decimal(6,1)"))))
+    first = F.nullif(F.regexp_extract(said, r"\d+(?:\.5)?", 0), F.lit("")).cast("decimal(6,1)")
+    shoe = F.when(said.contains("EU"), F.try_element_at(european, F.floor(first).cast("int")))
+    for says, by in SHIFTS:
+        shoe = shoe.when(said.rlike(says), first + by)
+    out = F.when(F.try_element_at(letters, said).isNotNull(), F.try_element_at(letters, said))
+    for (kinds, least, most, prefix), read in zip(NUMBERED, (F.floor(first), shoe), strict=True):
+        shown = F.concat(F.lit(prefix), F.regexp_replace(read.cast("decimal(6,1)").cast("string"), r"\.0$", ""))
+        out = out.when(F.lower(F.coalesce(category, F.lit(""))).rlike(kinds), F.when(read.between(least, most), shown))
+    return out
 
 
 def cell(value: Column, kind: str) -> Column:

@@ -26,7 +26,7 @@ def timestamp(value: Column) -> Column:
 def flag(value: Column) -> Column:
     """Truthy, falsy, or neither."""
     text = F.lower(F.trim(value.cast("string")))
-    return F.when(text.isin("1", "true", "yes", "y", "on"), True).when(text.isin("0", "false", "no", "n", "off"), False)
+    return F.when(text.isin("1", "true", "yes"), True).when(text.isin("0", "false", "no"), False)
 
 
 def rating(value: Column) -> Column:

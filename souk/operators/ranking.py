@@ -92,8 +92,8 @@ def liquidity(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
     return pool.withColumn("liquidity_score", half_up(100 * score, 2))
 
 
-#: Fixed values of the badges: least sales; least sample of a section; quantiles.
-LOW_SALES, SECTION_SAMPLE = 5, 20
+#: Fixed values of the badges: least sales, of any badge and of two of them; least sample of a section; quantiles.
+LOW_SALES, HOT_SALES, STABLE_SALES, SECTION_SAMPLE = 5, 10, 30, 20
 QUANTILES = {"score_p90": ("liquidity_score", 0.9), "days_p75": ("median_days_to_sell", 0.75), "p30_p25": ("p30", 0.25), "saturation_p80": ("saturation", 0.8)}
 
 
@@ -115,8 +115,8 @@ def badges(rows: DataFrame, sample: int = SECTION_SAMPLE) -> DataFrame:
     over = lambda c, limit: enough & (F.col(c) > 0) & (F.col(c) >= F.col(limit))
     marks = F.array_compact(F.array(
         F.when(~enough, "low_data"),
-        F.when(over("liquidity_score", "score_p90"), "hot"),
-        F.when(enough & (F.col("sold_90d") >= 20) & (F.col("spread") <= 0.35), "stable"),
+        F.when((F.col("sold_90d") >= HOT_SALES) & over("liquidity_score", "score_p90"), "hot"),
+        F.when((F.col("sold_90d") >= STABLE_SALES) & (F.col("spread") <= 0.35), "stable"),
         F.when(over("median_days_to_sell", "days_p75") & (F.col("p30") <= F.col("p30_p25")), "slow"),
         F.when(over("saturation", "saturation_p80"), "saturated"),
     ))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,27 @@ def _paths(value, path: str = "") -> Iterator[tuple[str, str]]:
         yield path, kind
 
 
-class Flatten:
-    """Dotted paths of a JSON text and the types found there."""
-
-    def eval(self, payload: str):
-        try:
-            found = set(_paths(json.loads(payload))) if payload else set()
-        except ValueError:
-            found = set()
-        yield from sorted(found)
+def _found(payload: str | None) -> list[tuple[str, str]]:
+    """Dotted paths of a JSON text and the types found there, each once."""
+    try:
+        return sorted(set(_paths(json.loads(payload)))) if payload else []
+    except ValueError:
+        return []
 
 
 def paths(rows: DataFrame, payload: str) -> DataFrame:
-    """path, type, n, share of the rows."""
-    spark = rows.sparkSession
-    spark.udtf.register("souk_flatten", F.udtf(Flatten, returnType="path string, type string"))
-    rows.select(F.col(payload).cast("string").alias("payload")).createOrReplaceTempView("_souk_payloads")
-    counted = spark.sql("SELECT f.path, f.type, count(*) AS n FROM _souk_payloads, LATERAL souk_flatten(payload) f GROUP BY f.path, f.type")
+    """path, type, n, share of the rows. The nesting of a payload has no bound, so paths
+    are found in a Python map over Arrow batches; they are counted there first."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = Counter(pair for text in batch.column(0).to_pylist() for pair in _found(text))
+            if counts:
+                names, kinds = zip(*counts, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(kinds), pa.array(list(counts.values()), pa.int64())], names=["path", "type", "n"])
+
+    seen = rows.select(F.col(payload).cast("string")).mapInArrow(work, "path string, type string, n long")
     total = rows.agg(F.count("*").alias("total"))
+    counted = seen.groupBy("path", "type").agg(F.sum("n").alias("n"))
     return counted.join(F.broadcast(total)).select("path", "type", "n", F.round((F.col("n") / F.col("total")).cast("decimal(24,8)"), 6).alias("share"))
 
 

@@ -59,10 +59,8 @@ def grouped_months(sold: DataFrame, covered: DataFrame) -> DataFrame:
     """Month counts of the market, of types, of types by department and of types
     by brand, in one pass: kind, key, month, n."""
     inside = sold.join(covered, ["brand_id", "month"], "left_semi")
-    inside.createOrReplaceTempView("_souk_sales")
-    sets = inside.sparkSession.sql("""
-        SELECT product_type, department, brand_id, month, 4 * grouping(product_type) + 2 * grouping(department) + grouping(brand_id) AS g, count(*) AS n FROM _souk_sales
-        GROUP BY GROUPING SETS ((month), (product_type, month), (product_type, department, month), (product_type, brand_id, month))""")
+    sets = inside.groupingSets([["month"], ["product_type", "month"], ["product_type", "department", "month"], ["product_type", "brand_id", "month"]], "product_type", "department", "brand_id", "month").agg(F.count("*").alias("n"), *(F.grouping(c).alias(f"_{c}") for c in ("product_type", "department", "brand_id")))
+    sets = sets.withColumn("g", 4 * F.col("_product_type") + 2 * F.col("_department") + F.col("_brand_id"))
     kind = F.when(F.col("g") == 7, "market").when(F.col("g") == 3, "type").when(F.col("g") == 1, "department").otherwise("brand")
     key = F.when(F.col("g") == 7, "market").otherwise(F.concat_ws(":", "product_type", "department", F.col("brand_id").cast("string")))
     return sets.select(kind.alias("kind"), key.alias("key"), "product_type", "month", "n")

@@ -192,11 +192,11 @@ _LIMIT_SQL = ", ".join(f"{up(f'quantile_cont({c}, {qq})', 6)} AS {n}" for n, (c,
 
 
 @q(query(f"""SELECT scope_key, section, sold_90d, liquidity_score, p30, median_days_to_sell, fresh, spread, saturation, concat_ws(',',
-  CASE WHEN sold_90d >= 5 AND liquidity_score > 0 AND liquidity_score >= score_p90 THEN 'hot' END,
+  CASE WHEN sold_90d >= 10 AND liquidity_score > 0 AND liquidity_score >= score_p90 THEN 'hot' END,
   CASE WHEN sold_90d < 5 THEN 'low_data' END,
   CASE WHEN sold_90d >= 5 AND saturation > 0 AND saturation >= saturation_p80 THEN 'saturated' END,
   CASE WHEN sold_90d >= 5 AND median_days_to_sell > 0 AND median_days_to_sell >= days_p75 AND p30 <= p30_p25 THEN 'slow' END,
-  CASE WHEN sold_90d >= 20 AND spread <= 0.35 THEN 'stable' END) AS badges
+  CASE WHEN sold_90d >= 30 AND spread <= 0.35 THEN 'stable' END) AS badges
 FROM (SELECT r.*, {", ".join(f"coalesce(o.{n}, a.{n}) AS {n}" for n in _LIMITS)} FROM facts r LEFT JOIN (SELECT section, {_LIMIT_SQL} FROM facts WHERE sold_90d >= 5 GROUP BY section HAVING count(*) >= 5) o USING (section) CROSS JOIN (SELECT {_LIMIT_SQL} FROM facts WHERE sold_90d >= 5) a)""",
          more=f"""{_DORMANT}, {_SMOOTHED}, {_RANKED},
 facts AS (SELECT b.scope_key, split_part(b.scope_key, ':', 3) AS section, b.sold_90d, liquidity_score, p30, b.median_days_to_sell, coalesce(fresh, 0) AS fresh, spread, coalesce(fresh, 0) * 3 / nullif(CAST(b.sold_90d AS DOUBLE), 0) AS saturation

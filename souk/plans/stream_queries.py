@@ -42,6 +42,27 @@ def stream_upsert(spark, sf_dir):
     return X.upsert(X.observed(spark, sf_dir), "user_id", ["ts", "event_id"], folder(spark)).select("user_id", "event_id", "event_type", "value")
 
 
+@q("""SELECT user_id, CAST(ts AS VARCHAR) AS last_seen, CAST(ts + INTERVAL 10 HOUR AS VARCHAR) AS removed_at FROM (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS after, max(ts) OVER () AS most FROM events) WHERE coalesce(after, most) - ts >= INTERVAL 10 HOUR AND (after IS NOT NULL OR date_trunc('millisecond', ts) + INTERVAL 10 HOUR < date_trunc('millisecond', most))""")
+def stream_removals(spark, sf_dir):
+    """Several micro-batches; keys that never return are told by a timer."""
+    where = folder(spark)
+    return X.run_once(X.removed(X.in_parts(spark, sf_dir, f"{where}/events"), hours=10), where)
+
+
+@q("""SELECT user_id, CAST(ts AS VARCHAR) AS ts, value, before FROM (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)) WHERE k = 1 OR value <> before""")
+def stream_price_changes_parts(spark, sf_dir):
+    """The same changes over several micro-batches: the last price is carried as state."""
+    where = folder(spark)
+    out = X.run_once(X.price_changes(X.in_parts(spark, sf_dir, f"{where}/events")), where)
+    return out.withColumn("before", F.when(~F.isnan("before"), F.col("before")))
+
+
+@q("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_upsert_buckets(spark, sf_dir):
+    where = folder(spark)
+    return X.upsert_buckets(X.in_parts(spark, sf_dir, f"{where}/events"), "user_id", ["ts", "event_id"], where).select("user_id", "event_id", "event_type", "value")
+
+
 @q("SELECT p_partkey, p_name, p_brand, p_size FROM part")
 def paged_scan(spark, sf_dir):
     spark.dataSource.register(PagedSource)

@@ -168,7 +168,7 @@ def schema_paths(spark, sf_dir):
     return J.paths(table(spark, sf_dir, "events"), "props")
 
 
-@q()
+@q("SELECT unnest(['k', 'later.k']) AS path, unnest(['removed', 'added']) AS change, unnest(['high', 'info']) AS severity")
 def schema_drift(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     old, new = J.paths(events.filter("event_id % 2 = 0"), "props"), J.paths(events.filter("event_id % 2 = 1").withColumn("props", F.concat(F.lit('{"later": '), "props", F.lit("}"))), "props")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,9 +16,12 @@ def _own() -> str:
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A path that no other run uses; under ``spark.checkpoint.dir`` if that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or _own()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path that no other run uses, under ``spark.checkpoint.dir``. Only where that is
+    unset and one machine does all the work a folder of this process's own serves."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
+    return f"{(base or _own()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
