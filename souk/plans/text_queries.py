@@ -12,9 +12,11 @@ from souk.operators import evaluation as V
 from souk.operators import grouping as G
 from souk.operators import quality as Q
 from souk.operators import schema as J
+from souk.operators import titles as P
 from souk.plans.market_queries import register
 from souk.plans.sql import query, up
 from souk.sources.listings import listings, table
+from souk.sources.scratch import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -125,6 +127,23 @@ def title_normalize(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"), F.initcap(F.element_at(F.split("p_name", " "), 1)).alias("display"))
 
 
+_MODELS = {"gear": 1, "rod": 2, "plate": 3, "hot gear": 4}
+
+
+@q(query("""SELECT listing_id, CASE WHEN product_type = 'SMALL' THEN NULL WHEN color = 'hot' AND line = 'gear' THEN 4 WHEN listing_id % 10 = 0 THEN 3 ELSE CASE line WHEN 'gear' THEN 1 WHEN 'rod' THEN 2 WHEN 'plate' THEN 3 END END AS key, CASE WHEN listing_id % 10 = 0 THEN 'override' WHEN product_type = 'SMALL' OR line NOT IN ('gear', 'rod', 'plate') THEN 'none' ELSE 'phrase' END AS method FROM listings""".replace("WHEN product_type = 'SMALL' THEN NULL WHEN color = 'hot' AND line = 'gear' THEN 4 WHEN listing_id % 10 = 0 THEN 3", "WHEN listing_id % 10 = 0 THEN 3 WHEN product_type = 'SMALL' THEN NULL WHEN color = 'hot' AND line = 'gear' THEN 4"), scoped=False))
+def placements(spark, sf_dir):
+    """Every listing's model: its title without brand, colour and noise, in the dictionary of
+    its type; every tenth listing was placed by a person."""
+    rows = stored(listings(spark, sf_dir).select("listing_id", "product_type", F.concat(F.lit("Acme Works "), F.initcap("model"), F.lit(" Size M 2014")).alias("title")), "titles")
+    phrases = lambda of: spark.createDataFrame(of, "phrase string, kind string, of string, rank int")
+    names = P.normalize(rows, phrases([("acme work", "brand", "", 0)]), phrases([("cold", "color", "", 0), ("new", "noise", "", 1)]))
+    types = rows.select("product_type").distinct().filter("product_type <> 'SMALL'")
+    known = spark.createDataFrame([(phrase, key, True, None) for phrase, key in _MODELS.items()], "phrase string, key int, confirmed boolean, parent int")
+    found = P.match(rows.select("title", "product_type").distinct().join(names, "title"), types.join(F.broadcast(known)))
+    decided = rows.filter("listing_id % 10 = 0").select("listing_id", F.lit(3).alias("key"))
+    return P.place(rows, found, decided).select("listing_id", "key", "method")
+
+
 @q()
 def relist_chains(spark, sf_dir):
     return G.relists(listings(spark, sf_dir).withColumn("group_id", F.col("model")))
