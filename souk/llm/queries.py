@@ -30,6 +30,24 @@ def op4_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq_dedup.link(table(spark, sf_dir, "embeddings"))
 
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT a AS id, b AS other FROM pairs UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other
+), least AS (
+  SELECT id, least(id, min(other)) AS component_id FROM reach GROUP BY id
+), links AS (
+  SELECT a AS id, count(*) AS n_links FROM pairs GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN links ON links.id = vec_id LEFT JOIN least ON least.id = vec_id
+"""
+
+
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: its class, and whether it is the one that stays."""
     return bag_minhash.classes(table(spark, sf_dir, "documents"))
@@ -100,4 +118,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, pipeline)}
-ORACLE = {"op6_chat_format": OP6_SQL}
+ORACLE = {"op4_itq_dedup": OP4_SQL, "op6_chat_format": OP6_SQL}

@@ -284,6 +284,18 @@ def test_sql_of_chat_format(spark, sf_dir):
     same(queries.op6_chat_format(spark, sf_dir), connect(sf_dir), queries.OP6_SQL)
 
 
+def test_sql_of_vector_links(spark, sf_dir, tmp_path):
+    """On the fixture, and on vectors that have links."""
+    from tests.compare import connect, same
+
+    same(queries.op4_itq_dedup(spark, sf_dir), connect(sf_dir), queries.OP4_SQL)
+    frame = spark.createDataFrame(vectors(n=200) + BAD[:6], "vec_id long, embedding array<float>")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = __import__("duckdb").connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    same(queries.op4_itq_dedup(spark, str(tmp_path)), con, queries.OP4_SQL)
+
+
 def test_stages_keep_odd_rows(spark):
     """Null ids and texts stay; repeated rows of an id are kept once; no table, no rows."""
     rows = [(1, "same words in this text here"), (1, "same words in this text here"), (2, "same words in this text here"), (None, "same words in this text here"), (None, None), (3, None), (4, "")]
