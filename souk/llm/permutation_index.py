@@ -159,7 +159,7 @@ def _of_length(entries: DataFrame, n: int, k: int, held: str) -> DataFrame:
     pivots = choose_pivots(some, pivots_for(n))
     reading = fit_reading(some, pivots)
     shared = entries.sparkSession.sparkContext.broadcast(pivots)  # at most MOST vectors
-    kept = min(KEPT, len(pivots))
+    kept, number = min(KEPT, len(pivots)), "<u1" if len(pivots) <= 256 else "<u2"
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -168,7 +168,7 @@ def _of_length(entries: DataFrame, n: int, k: int, held: str) -> DataFrame:
                 x = matrix(batch.column("vector"))
                 nearest = orders(unit(x), shared.value)
                 as_bytes = lambda m, kind: pa.array([r.tobytes() for r in np.ascontiguousarray(m, kind)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("asks"), as_bytes(x, held), as_bytes(nearest, "<u2"), pa.array(nearest[:, : max(POSTED, reading.files)].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["rep", "asks", "vector", "order", "nearest"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("asks"), as_bytes(x, held), as_bytes(nearest, number), pa.array(nearest[:, : max(POSTED, reading.files)].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["rep", "asks", "vector", "order", "nearest"])
 
     ordered = written(entries.mapInArrow(order, "rep long, asks boolean, vector binary, order binary, nearest array<int>"), "ann-orders")
     index = ordered.select("rep", "vector", "order", F.explode(F.slice("nearest", 1, POSTED)).alias("pivot"))
@@ -193,7 +193,7 @@ def _of_length(entries: DataFrame, n: int, k: int, held: str) -> DataFrame:
                 if asks.all() or not asks.any():
                     continue
                 x = unit(np.frombuffer(b"".join(m.field("vector").to_pylist()), held).reshape(len(m), -1).astype(np.float64))
-                places = places_of(np.frombuffer(b"".join(m.field("order").to_pylist()), "<u2").reshape(len(m), kept), n_pivots)
+                places = places_of(np.frombuffer(b"".join(m.field("order").to_pylist()), number).reshape(len(m), kept), n_pivots)
                 found = [(np.full(len(rows), reps[asks][j]), reps[~asks][rows], cosine) for j, rows, cosine in search_block(places[~asks], x[~asks], reps[~asks], places[asks], x[asks], k, share)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["rep", "near", "score"])
 
