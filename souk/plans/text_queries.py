@@ -14,7 +14,7 @@ from souk.operators import quality as Q
 from souk.operators import schema as J
 from souk.operators import titles as P
 from souk.plans.market_queries import register
-from souk.plans.sql import query, up
+from souk.plans.sql import PARTS, mined, ngrams, query, support, up, words
 from souk.sources.listings import listings, table
 from souk.sources.scratch import stored
 
@@ -51,7 +51,7 @@ def replica_regex(spark, sf_dir):
     return _marks(table(spark, sf_dir, "documents").filter("lang = 'en'"))
 
 
-@q()
+@q(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(rep|replica|1:1|unauthorized|dhgate)\b') OR regexp_matches(text, '(?i)\binspired\s+by\b') AS replica, regexp_matches(text, '(?i)\b(bundle|lot of|x\s?\d+|set of|read description)\b') AS lot FROM documents""")
 def replica_regex_all(spark, sf_dir):
     return _marks(table(spark, sf_dir, "documents"))
 
@@ -82,7 +82,7 @@ def tokenize_words(spark, sf_dir):
     return _vocabulary(tokens)
 
 
-@q()
+@q(f"""SELECT doc_id, CAST(len(w) AS INT) AS n_words, w[1] AS first, array_to_string(list_sort(list_distinct(w)), ' ') AS vocabulary FROM (SELECT doc_id, {words("text")} AS w FROM documents)""")
 def tokenize_words_all(spark, sf_dir):
     """All documents, by the operators' tokenizer."""
     return _vocabulary(table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w")))
@@ -92,19 +92,22 @@ def _vocabulary(tokens):
     return tokens.select("doc_id", F.size("w").alias("n_words"), F.get("w", F.lit(0)).alias("first"), F.array_join(F.array_sort(F.array_distinct("w")), " ").alias("vocabulary"))
 
 
-@q()
+_TITLES_SQL = "WITH titles AS (SELECT doc_id AS listing_id, source AS seller, lang AS product_type, text AS title FROM documents)"
+
+
+@q(f"{_TITLES_SQL}, {support('support')} SELECT * FROM support")
 def ngram_support(spark, sf_dir):
     return G.phrase_support(titles(spark, sf_dir))
 
 
-@q()
+@q(f"{_TITLES_SQL}, {support('support')} SELECT s.* FROM support s {PARTS}")
 def phrase_collocation(spark, sf_dir):
     return G.collocations(G.phrase_support(titles(spark, sf_dir)))
 
 
-@q()
+@q(f"{_TITLES_SQL}, {mined(G.SELLERS, G.PHRASES)} SELECT * REPLACE (array_to_string(variants, '|') AS variants) FROM mined")
 def mine_phrases(spark, sf_dir):
-    return G.mine(titles(spark, sf_dir))
+    return G.mine(titles(spark, sf_dir)).withColumn("variants", F.array_join("variants", "|"))
 
 
 def part_titles(spark, sf_dir):
@@ -116,7 +119,10 @@ def model_phrase_support(spark, sf_dir):
     return G.phrase_support(part_titles(spark, sf_dir))
 
 
-@q()
+@q(query(f"""SELECT product_type, listing_id, arg_max(model, struct_pack(n := n_words, a := 0 - spot)) AS model, max(n_words) AS n_words
+FROM (SELECT product_type, listing_id, unnest(g) AS phrase, generate_subscripts(g, 1) AS spot FROM (SELECT product_type, listing_id, {ngrams("w")} AS g FROM split))
+JOIN (SELECT product_type, model, phrase, CAST(len(string_split(phrase, ' ')) AS INT) AS n_words FROM (SELECT product_type, phrase AS model, unnest(list_append(variants, phrase)) AS phrase FROM mined)) USING (product_type, phrase) GROUP BY product_type, listing_id""",
+         scoped=False, more=f"titles AS (SELECT listing_id, seller, product_type, model AS title FROM listings), {mined(2)}"))
 def dictionary_match(spark, sf_dir):
     rows = part_titles(spark, sf_dir)
     return G.longest_match(rows, G.mine(rows, sellers=2))

@@ -198,3 +198,17 @@ def test_every_line_has_its_versions(spark, sf_dir):
     keys = ["brand_id", "product_type", "line"]
     assert every.count() == every.select(*keys).distinct().count() > top.count()
     assert top.select(*keys, "versions").exceptAll(every.select(*keys, "versions")).count() == 0
+
+
+def test_sql_of_words(spark, tmp_path):
+    """Hyphens, apostrophes, decimals, accents and plurals, in the query and in its SQL."""
+    import duckdb
+
+    from souk import registry
+    from tests.compare import same
+
+    texts = ["A-Cold-Wall V-Neck t-shirt a-line x-abc1 b-side- c-note-! d'a-bcde ''e-bike f''g-string", "Track2 track.3 2.0 2.10 #7 17.5 #a", "O'Neill’s ties dies glasses boxes buses cactus news ss", "Déjà Őszi şapka Größe Straßen", "", "u-turn v-neck w-xyz's x-ray-'"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(registry.QUERIES["tokenize_words_all"](spark, str(tmp_path)), con, registry.ORACLE["tokenize_words_all"])
