@@ -21,9 +21,9 @@ ATTACHED_SIZE = r"^(?:size|sz|eu|us|uk|it|fr|jp|w|l)\d+(?:\.\d+)?$|^\d+(?:\.\d+)
 NUMERIC = r"^(?:(?:19|20)\d{2}|(?:ss|fw|aw|sp|fa|pf)\d{2,4}|.*\..*|[1-9]\d)$"
 
 
-def positions(rows: DataFrame, tokens: str, *keep: str) -> DataFrame:
+def positions(rows: DataFrame, tokens: str, *keep: str, longest: int = LONGEST) -> DataFrame:
     """The runs of a title's words with their start (from 0) and number of words."""
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("phrase")))).otherwise(F.array().cast("array<struct<start:int,n:int,phrase:string>>"))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.struct(i.alias("start"), n.alias("n"), F.array_join(F.slice(tokens, i + 1, n), " ").alias("phrase")))).otherwise(F.array().cast("array<struct<start:int,n:int,phrase:string>>"))))
     return rows.select(*keep, F.explode(runs).alias("r")).select(*keep, "r.*")
 
 
@@ -106,26 +106,35 @@ def corrected(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return each.groupBy("title", "product_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))), lambda x: x["w"]).alias("tokens"))
 
 
-def match(rows: DataFrame, dictionary: DataFrame, protected: tuple[str, ...] = (), versions: tuple[str, ...] = ()) -> DataFrame:
-    """title, product_type, key, matched, fuzzy, version. ``rows``: title, product_type,
-    tokens. ``dictionary``: product_type, phrase, key, confirmed, parent. A glued match
-    counts only if it covers more words than the one as written."""
-    dictionary = dictionary.groupBy("product_type", "phrase").agg(F.min_by(F.struct("key", "confirmed", "parent"), F.struct(~F.col("confirmed"), "key")).alias("e")).select("product_type", "phrase", "e.*")
+def one_entry(dictionary: DataFrame) -> DataFrame:
+    """Of equal phrases of a type a confirmed model's stays, then the one of the least key."""
+    return dictionary.groupBy("product_type", "phrase").agg(F.min_by(F.struct("key", "confirmed", "parent"), F.struct(~F.col("confirmed"), "key")).alias("e")).select("product_type", "phrase", "e.*")
+
+
+def search(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """title, product_type, used (the words searched), m (key, start, n in them), covered
+    (words of the title). A glued match counts only if it covers more words than the one as
+    written. ``dictionary``: one entry for each phrase of a type."""
     by = ["title", "product_type"]
+    both = stored(glued(rows, dictionary), "glued")
+    plain = _best(both, dictionary, "tokens").withColumnRenamed("m", "p")
+    joined = _best(both.filter("size(joined) < size(tokens)"), dictionary, "joined").withColumnRenamed("m", "g")
+    out = both.join(plain, by, "left").join(joined, by, "left").filter("p is not null or g is not null")
+    width = F.aggregate(F.slice("widths", F.col("g.start") + 1, F.col("g.n")), F.lit(0), lambda s, x: s + x)
+    wins = F.col("g").isNotNull() & (F.col("p").isNull() | (width > F.col("p.n")))
+    pick = lambda a, b: F.when(wins, a).otherwise(b)
+    return out.select(*by, pick(F.col("joined"), F.col("tokens")).alias("used"), pick(F.col("g"), F.col("p")).alias("m"), pick(width, F.col("p.n")).alias("covered"))
 
-    def search(some: DataFrame, fuzzy: bool) -> DataFrame:
-        both = stored(glued(some, dictionary), "glued")
-        plain = _best(both, dictionary, "tokens").withColumnRenamed("m", "p")
-        joined = _best(both.filter("size(joined) < size(tokens)"), dictionary, "joined").withColumnRenamed("m", "g")
-        out = both.join(plain, by, "left").join(joined, by, "left").filter("p is not null or g is not null")
-        width = F.aggregate(F.slice("widths", F.col("g.start") + 1, F.col("g.n")), F.lit(0), lambda s, x: s + x)
-        wins = F.col("g").isNotNull() & (F.col("p").isNull() | (width > F.col("p.n")))
-        return out.select(*by, F.when(wins, F.col("joined")).otherwise(F.col("tokens")).alias("used"), F.when(wins, F.col("g")).otherwise(F.col("p")).alias("m"), F.lit(fuzzy).alias("fuzzy"))
 
+def match(rows: DataFrame, dictionary: DataFrame, protected: tuple[str, ...] = (), versions: tuple[str, ...] = ()) -> DataFrame:
+    """title, product_type, key, matched, fuzzy, version. ``rows``: title, product_type,
+    tokens. ``dictionary``: product_type, phrase, key, confirmed, parent."""
+    dictionary, by = one_entry(dictionary), ["title", "product_type"]
     rows = stored(rows.select(*by, "tokens"), "asked")
-    written = stored(search(rows, False), "written")
+    written = stored(search(rows, dictionary).withColumn("fuzzy", F.lit(False)), "written")
     rest = rows.join(written.select(*by), by, "left_anti")
-    found = written.unionByName(search(corrected(rest, dictionary), True)).join(dictionary.select("key", "parent").distinct(), F.col("m.key") == F.col("key")).drop("key")
+    misspelt = search(corrected(rest, dictionary), dictionary).withColumn("fuzzy", F.lit(True))
+    found = written.unionByName(misspelt).join(dictionary.select("key", "parent").distinct(), F.col("m.key") == F.col("key")).drop("key")
     start, n = F.col("m.start"), F.col("m.n")
     before = F.filter(F.slice("used", F.greatest(start - 1, F.lit(1)), F.least(start, F.lit(2))), lambda t: t.isin(*protected) if protected else F.lit(False))
     after = F.get("used", start + n)
