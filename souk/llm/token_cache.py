@@ -171,12 +171,13 @@ class Encoder:
         n = len(offsets) - 1
         apart = [i for i in range(n) if self._apart(raw, texts, offsets, i)] if self._any_apart(raw) else []
         folded = self.folded[raw]
-        begins = np.flatnonzero(self.cuts(folded, offsets))
-        ends = np.append(begins[1:], len(raw))
-        if self.words:  # a unit ends where white space begins
-            white = np.concatenate([_CLASS[raw] >= _S, [True]])
-            stops = np.flatnonzero(white | np.isin(np.arange(len(raw) + 1), offsets))
-            ends = np.minimum(ends, stops[np.searchsorted(stops, begins, "right")]) if len(begins) else ends
+        cut = self.cuts(folded, offsets)
+        begins = np.flatnonzero(cut)
+        if self.words:  # a unit ends where another begins, or white space does
+            inside = _CLASS[raw] < _S
+            ends = np.flatnonzero(inside & np.append(cut[1:] | ~inside[1:], True)) + 1
+        else:
+            ends = np.append(begins[1:], len(raw))
         owner_first = np.searchsorted(begins, offsets)
         if apart:
             skip = np.zeros(len(begins), bool)
