@@ -7,7 +7,7 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bag_minhash, byte_bpe, chat, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf
+from souk.llm import bag_minhash, byte_bpe, chat, fim, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf
 from souk.llm.common import doc_crc, table
 
 
@@ -111,11 +111,36 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    restored = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, length(text) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM docs
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, substring(text, 1, low) AS prefix, substring(text, low + 1, high - low) AS middle, substring(text, high + 1) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, pipeline)}
-ORACLE = {"op4_itq_dedup": OP4_SQL, "op6_chat_format": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, op13_fill_in_middle, pipeline)}
+ORACLE = {"op4_itq_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op13_fill_in_middle": OP13_SQL}
