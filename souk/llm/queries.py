@@ -7,7 +7,7 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bag_minhash, byte_bpe, chat, fim, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf
+from souk.llm import bag_minhash, byte_bpe, chat, fim, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf, warc
 from souk.llm.common import doc_crc, table
 
 
@@ -111,6 +111,25 @@ def op10_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_crf.tag(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op11_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = """
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), hashed AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS last FROM rows
+), bits AS (
+  SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: printf('%04d', CAST(bin(strpos('0123456789abcdef', h[i]) - 1) AS INTEGER))), 'string_agg', '') AS b FROM hashed
+)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(1 + list_sum(list_transform(range(1, 6), lambda k: CAST(b[5 * i + k] AS INTEGER) * CAST(pow(2, 5 - k) AS INTEGER))) AS BIGINT)]), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM bits
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(table(spark, sf_dir, "documents"))
     restored = fim.restored(F.col("output"), F.col("form"))
@@ -142,5 +161,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, op13_fill_in_middle, pipeline)}
-ORACLE = {"op4_itq_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op13_fill_in_middle": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, op11_warc_normaliser, op13_fill_in_middle, pipeline)}
+ORACLE = {"op4_itq_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op11_warc_normaliser": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
