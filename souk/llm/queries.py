@@ -7,8 +7,8 @@ import public_tokenizers as tokens
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import bag_minhash, byte_bpe, chat, fim, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf, warc
-from souk.llm.common import doc_crc, table
+from souk.llm import alignment, bag_minhash, byte_bpe, chat, fim, itq_dedup, license_scan, packing, permutation_index, quality_rules, token_files, toxic_crf, warc
+from souk.llm.common import doc_crc, table, written
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +130,14 @@ FROM bits
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokens.path("byte_bpe_50k.json"), tokens.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    held = written(aligned.withColumn("groups_sha256", digest).drop("groups"), "alignment")
+    out = alignment.scored(held, alignment.pair_counts(held))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(table(spark, sf_dir, "documents"))
     restored = fim.restored(F.col("output"), F.col("form"))
@@ -161,5 +169,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, op11_warc_normaliser, op13_fill_in_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_byte_bpe, op4_itq_dedup, op5_bag_minhash, op6_chat_format, op7_quality_rules, op8_packing, op9_permutation_index, op10_toxic_crf, op11_warc_normaliser, op12_token_alignment, op13_fill_in_middle, pipeline)}
 ORACLE = {"op4_itq_dedup": OP4_SQL, "op6_chat_format": OP6_SQL, "op11_warc_normaliser": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

@@ -233,14 +233,16 @@ class Encoder:
         return out
 
 
-def library_units(path: str) -> tuple[Callable, Callable]:
-    """(encode_units, whole) of a vocabulary file of the tokenizers library."""
+def library_units(path: str, plain: bool = False) -> tuple[Callable, Callable]:
+    """(encode_units, whole) of a vocabulary file of the tokenizers library. ``plain``:
+    strings of special tokens in a text are ordinary text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = plain
 
     def encode_units(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
