@@ -29,9 +29,12 @@ def sale_price() -> Column:
 
 
 def fan_out(listings: DataFrame) -> DataFrame:
-    """Each listing once for each scope it belongs to: level, scope_key."""
+    """Each listing once for each scope it belongs to: level, scope_key. A column
+    ``only_levels`` names the levels that are wanted of a row, where not all are."""
     key = lambda level, *parts: F.struct(F.lit(level).alias("level"), F.concat_ws(":", F.lit(level), *parts).alias("scope_key"))
     scopes = F.array(key("brand", "brand_id"), key("type", "brand_id", "product_type"), key("line", "brand_id", "product_type", "line"), key("model", "brand_id", "product_type", "model"))
+    if "only_levels" in listings.columns:
+        scopes = F.filter(scopes, lambda s: F.array_contains("only_levels", s["level"]))
     return listings.withColumn("_s", F.explode(scopes)).select("*", "_s.level", "_s.scope_key").drop("_s")
 
 

@@ -17,7 +17,7 @@ from souk.operators import trends as T
 from souk.plans.market_queries import register
 from souk.plans.sql import NOW, even, over, quantile, sold, up
 from souk.sources.listings import LISTINGS_SQL, listings
-from souk.sources.scratch import path, stored
+from souk.sources.scratch import path, stamp, stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,18 +35,23 @@ def market(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     flags = F.array_compact(F.array(F.when(n % 23 == 0, W.LOT), F.when(n % 37 == 0, "price_outlier"), F.when(n % 41 == 0, W.REPLICA)))
     rows = rows.withColumns({"flags": flags, "price_updated_at": F.timestamp_add("DAY", (2 - n % 15).cast("int"), F.col("touched_at")), "bumped_at": F.when(n % 2 == 0, F.col("touched_at"))})
     rows = stored(rows, "market")
+    return rows, relists(rows)
+
+
+def relists(rows: DataFrame) -> DataFrame:
     first = F.first("listing_id").over(Window.partitionBy("brand_id", "product_type", "model", "seller").orderBy("listed_at", "listing_id"))
-    links = rows.select("listing_id", first.alias("root_id")).filter("listing_id % 3 = 0 and listing_id <> root_id")
-    return rows, links
+    return rows.select("listing_id", first.alias("root_id")).filter("listing_id % 3 = 0 and listing_id <> root_id")
 
 
-_held: dict[tuple[str, str, str], str] = {}
+_held: dict[tuple, str] = {}
 
 
 def held(spark, sf_dir, name: str, build: Callable[[], DataFrame], anew: bool = False) -> DataFrame:
     """A table that later queries of the application read again, as they would the stored
-    rows of the last recomputation; made ``anew`` on demand or if it is gone."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    rows of the last recomputation; made ``anew`` on demand, if it is gone, or if the files
+    of the tables it comes from are others now."""
+    files = stamp(spark, *(f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part", "orders", "customer")))
+    key = (spark.sparkContext.applicationId, files, name)
     if key in _held and not anew:
         try:
             return spark.read.parquet(_held[key])
@@ -229,8 +234,12 @@ _DEAL_PARTS = (*_RANK, _STATS, _DEALS)
 
 
 def judged(spark, sf_dir) -> DataFrame:
-    rows, _ = market(spark, sf_dir)
-    scopes = wide(spark, sf_dir).filter("level = 'type'").select("brand_id", "product_type", "pricing", "liquidity_score")
+    return judge_rows(market(spark, sf_dir)[0], wide(spark, sf_dir))
+
+
+def judge_rows(rows: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Decisions on active listings by their type's row; what the tables lack comes from rules."""
+    scopes = scopes.filter("level = 'type'").select("brand_id", "product_type", "pricing", "liquidity_score")
     sellers = W.wholesalers(rows, stock=STOCK).select("brand_id", "seller", F.lit(True).alias("wholesale"))
     active = rows.filter((F.col("status") == "active") & ~F.array_contains("flags", W.REPLICA)).join(sellers, ["brand_id", "seller"], "left").join(scopes, ["brand_id", "product_type"], "left")
     n = F.col("seller")

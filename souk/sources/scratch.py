@@ -29,3 +29,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     where, schema = path(df.sparkSession, name), df.schema
     df.write.parquet(where)
     return df.sparkSession.read.schema(schema).parquet(where)
+
+
+def forget(spark: SparkSession, where: str) -> None:
+    """Deletes a table of this folder; nothing happens if it is gone."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(where)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def exists(spark: SparkSession, where: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def stamp(spark: SparkSession, *places: str) -> tuple:
+    """Names, sizes and times of the files under some places, so that what was made of
+    them can be told from what was made of others."""
+    found = []
+    for where in places:
+        place = spark._jvm.org.apache.hadoop.fs.Path(where)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            own = files.next()
+            found.append((own.getPath().toString(), own.getLen(), own.getModificationTime()))
+    return tuple(sorted(found))
