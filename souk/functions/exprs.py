@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 AS_OF = datetime(1998, 6, 1)
 
 
-def moment(at: datetime) -> Column:
+def moment(at: datetime | Column) -> Column:
+    """A moment as a column; one that each row has of its own stays as it is."""
+    if isinstance(at, Column):
+        return at
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 
 

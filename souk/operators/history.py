@@ -79,7 +79,7 @@ def watch_changes(base: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return base.join(current, key, "left").select(key, "day", "n", "value", "n_now", "value_now", (F.col("n_now") - F.col("n")).alias("n_change"), half_even(ratio(F.col("value_now"), F.nullif("value", F.lit(0))), 4).alias("value_ratio"))
 
 
-def status_at(at: datetime) -> Column:
+def status_at(at: datetime | Column) -> Column:
     """The status a listing had at a moment; null if it wasn't listed yet."""
     from souk.functions.exprs import moment
 

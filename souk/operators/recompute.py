@@ -200,6 +200,14 @@ def _array(rows: DataFrame, name: str, *fields: str) -> DataFrame:
     return rows.groupBy("scope_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", *fields))), lambda s: F.struct(*(s[f].alias(f) for f in fields))).alias(name))
 
 
+def evaluated(base: DataFrame, at: datetime = AS_OF) -> DataFrame:
+    """Of the wide row what rates and the rank are made of."""
+    sales = fan_out(base.filter(_sold(at) & _days(at, max(PERIODS))))
+    out = counts(base, at).join(windows(sales, at), "scope_key", "left").join(p30(chains(base, at)), "scope_key", "left")
+    through = F.coalesce(half_even(ratio(F.col("sold_30d"), F.col("sold_30d") + F.col("active_now")), 6), F.lit(0))
+    return out.withColumns({"sell_through_30d": through, "p30_sold": F.coalesce("p30_sold", F.lit(0)), "p30_cohort": F.coalesce("p30_cohort", F.lit(0))})
+
+
 def wide(base: DataFrame, at: datetime = AS_OF) -> DataFrame:
     """One row for each scope with everything that is known of it."""
     sales, chain_rows = stored(scope_sales(base, at), "sales"), stored(chains(base, at), "chains")
