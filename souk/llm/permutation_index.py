@@ -6,11 +6,13 @@ nearest ones, ranks what it finds there by Spearman's footrule between the order
 and reranks the best share of each file by cosine with the original vectors.
 
 The number of pivots grows with the root of the number of vectors. How many files a
-query reads and which share is reranked is fitted: the least that finds ``FOUND`` of
-the true neighbours of ``PROBES`` rows within a bounded sample. Where vectors have
-clusters a query then reads few files; where they point everywhere alike no order of
-pivots tells much, and it has to read a good part of the table. The index holds every
-row.
+query reads, and which share of each file's own rows is reranked, is fitted on a bounded
+sample of ``SAMPLE`` rows: the least that finds ``FOUND`` of the true neighbours of
+``PROBES`` rows there. A query whose own ``OWN`` nearest rows of the sample need more reads
+more, and each reads on until its files hold ``FLOOR`` postings for each answer, so stray
+rows beside dense clusters find theirs. Where vectors have clusters a query then reads few
+files; where they point everywhere alike no order of pivots tells much, and it has to read
+a good part of the table. The index holds every row.
 
 A file is read in blocks of about ``BLOCK`` postings, and the queries of a file
 in blocks too, so a common pivot doesn't make a large task; a block gives each
@@ -44,7 +46,11 @@ LEAST, MOST, POSTED, KEPT = 128, 4096, 8, 256
 #: Rows of a block that are reranked at least.
 AT_LEAST = 64
 BLOCK, QUERY_BLOCK = 4096, 512
-SAMPLE, PROBES, NEIGHBOURS, FOUND = 10_000, 256, 5, 0.98
+SAMPLE, PROBES, NEIGHBOURS, FOUND = 10_000, 256, 5, 0.97
+#: Of its neighbours among the sample a query reads so as to find this many.
+OWN = 12
+#: Postings that a query's files hold at least, for each row that is asked for.
+FLOOR = 64
 
 
 def pivots_for(n: int) -> int:
@@ -87,37 +93,90 @@ def places_of(order: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Sample:
+    """The sampled rows with their orders and files: what a query would have to read to find
+    its nearest among them."""
+
+    def __init__(self, x: np.ndarray, pivots: np.ndarray):
+        self.x, self.order = x, orders(x, pivots)
+        self.place = places_of(self.order, len(pivots))
+        self.posted = self.order[:, :POSTED]
+        self.sizes = np.bincount(self.posted.ravel(), minlength=len(pivots))
+        self.by_file = np.argsort(self.posted.ravel(), kind="stable") // self.posted.shape[1]
+        self.ends = np.cumsum(self.sizes)
+
+    def near(self, q: np.ndarray, place: np.ndarray, n: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows nearest to a query (but itself), the place of the first file that each is
+        in, and the footrules of all rows."""
+        cosine = self.x @ q
+        cosine[cosine > 1 - 1e-12] = -2
+        near = np.argpartition(-cosine, min(n, len(cosine) - 1))[:n]
+        near = near[cosine[near] > -2]
+        return near, place[self.posted[near]].min(axis=1) + 1, np.abs(self.place - place).sum(axis=1, dtype=np.int32)
+
+    def shares(self, near: np.ndarray, footrule: np.ndarray, files: np.ndarray) -> np.ndarray:
+        """The share of a file's own rows that must be reranked to find each of ``near`` in one
+        of ``files``; 1 for rows that are in none."""
+        best = np.ones(len(near))
+        for f in files:
+            inside = (self.posted[near] == f).any(axis=1)
+            if inside.any():
+                own = self.by_file[self.ends[f] - self.sizes[f] : self.ends[f]]
+                best = np.where(inside, np.minimum(best, np.searchsorted(np.sort(footrule[own]), footrule[near], "right") / len(own)), best)
+        return best
+
+
 @dataclass(frozen=True)
 class Reading:
-    """How many files a query reads, and the share of a block that is reranked."""
+    """How many files most queries read, which share of a table they rerank in all, and the
+    share of each file's own rows that is reranked."""
 
     files: int
     share: float
+    of_file: float
+
+
+def fit_reading(x: np.ndarray, pivots: np.ndarray, probes: int = PROBES, seed: int = 4) -> Reading:
+    """The least that finds ``FOUND`` of the neighbours of some rows among the sample, by a
+    search as it is done: a neighbour counts as found in a file that is read if it is among
+    the share of that file's own rows that are reranked."""
+    sampled, seen = Sample(x, pivots), []
+    for i in np.random.default_rng(seed).permutation(len(sampled.x))[:probes]:
+        near, first, footrule = sampled.near(sampled.x[i], sampled.place[i])
+        if len(near):
+            seen.append((i, near, first, footrule))
+    if not seen:
+        return Reading(1, 1.0, 1.0)
+    files = int(min(np.quantile(np.concatenate([s[2] for s in seen]), FOUND, method="higher"), sampled.order.shape[1]))
+    needed = [sampled.shares(near, footrule, sampled.order[i, :files]) for i, near, _, footrule in seen]
+    of_file = float(np.quantile(np.concatenate(needed), FOUND, method="higher"))
+    postings = np.mean([sampled.sizes[sampled.order[s[0], :files]].sum() for s in seen])
+    return Reading(files, float(min(1.0, of_file * postings / len(x))), of_file)
+
+
+def read_by(reading: Reading, sampled: Sample, q: np.ndarray, order: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Files that each query reads, and the share of each that it reranks: what most queries
+    need, or what its own neighbours among the sample need, if that is more; so a stray row
+    reads as it must. It reads on until its files hold ``least`` postings (``sizes``: those of
+    each file), or all it has."""
+    met = np.cumsum(sizes[order], axis=1)
+    files = np.maximum(reading.files, np.where(met[:, -1] >= least, (met >= least).argmax(axis=1) + 1, order.shape[1]))
+    share = np.full(len(q), reading.of_file)
+    places = places_of(order, sampled.place.shape[1])
+    for i in range(len(q)):
+        near, first, footrule = sampled.near(q[i], places[i], OWN)
+        if len(near):
+            files[i] = min(max(files[i], first.max()), order.shape[1])
+            share[i] = max(share[i], sampled.shares(near, footrule, order[i, : files[i]]).max())
+    return files, share
 
 
-def fit_reading(x: np.ndarray, pivots: np.ndarray, probes: int = PROBES) -> Reading:
-    """The least that finds ``FOUND`` of the neighbours of some rows among the sample."""
-    order = orders(x, pivots)
-    place = places_of(order, len(pivots))
-    files, shares = [], []
-    for i in range(min(probes, len(x))):
-        cosine = x @ x[i]
-        cosine[i] = -2
-        near = np.argsort(-cosine, kind="stable")[: min(NEIGHBOURS, len(x) - 1)]
-        files.append(place[i][order[near, :POSTED]].min(axis=1) + 1)
-        footrule = np.abs(place - place[i]).sum(axis=1, dtype=np.int32)
-        shares.append(np.searchsorted(np.sort(footrule), footrule[near], "right") / len(x))
-    if not files:
-        return Reading(1, 1.0)
-    most = np.quantile(np.concatenate(files), FOUND, method="higher")
-    return Reading(int(min(most, order.shape[1])), float(np.quantile(np.concatenate(shares), FOUND, method="higher")))
-
-
-def search_block(places: np.ndarray, x: np.ndarray, reps: np.ndarray, q_places: np.ndarray, q: np.ndarray, k: int, share: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(places: np.ndarray, x: np.ndarray, reps: np.ndarray, q_places: np.ndarray, q: np.ndarray, k: int, share: np.ndarray | float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, rows, cosines) of the ``k`` best of a block for each query. Rows with
     the footrule of the last one that is reranked are reranked with it."""
-    keep = min(len(x), max(AT_LEAST, math.ceil(len(x) * share)))
+    share = np.broadcast_to(share, len(q))
     for i in range(len(q)):
+        keep = min(len(x), max(AT_LEAST, math.ceil(len(x) * share[i])))
         footrule = np.abs(places - q_places[i]).sum(axis=1, dtype=np.int32)
         near = np.flatnonzero(footrule <= np.partition(footrule, keep - 1)[keep - 1]) if keep < len(x) else np.arange(len(x))
         cosine = (x[near] * q[i]).sum(axis=1)
@@ -158,31 +217,45 @@ def _of_length(entries: DataFrame, n: int, k: int, held: str) -> DataFrame:
     some = sample(entries, SAMPLE)
     pivots = choose_pivots(some, pivots_for(n))
     reading = fit_reading(some, pivots)
-    shared = entries.sparkSession.sparkContext.broadcast(pivots)  # at most MOST vectors
+    shared = entries.sparkSession.sparkContext.broadcast((pivots, some))  # at most MOST and SAMPLE vectors
     kept, number = min(KEPT, len(pivots)), "<u1" if len(pivots) <= 256 else "<u2"
+    as_bytes = lambda m, kind: pa.array([r.tobytes() for r in np.ascontiguousarray(m, kind)], pa.binary())
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 x = matrix(batch.column("vector"))
-                nearest = orders(unit(x), shared.value)
-                as_bytes = lambda m, kind: pa.array([r.tobytes() for r in np.ascontiguousarray(m, kind)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("asks"), as_bytes(x, held), as_bytes(nearest, number), pa.array(nearest[:, : max(POSTED, reading.files)].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["rep", "asks", "vector", "order", "nearest"])
+                nearest = orders(unit(x), shared.value[0])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("asks"), as_bytes(x, held), as_bytes(nearest, number), pa.array(nearest[:, :POSTED].astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["rep", "asks", "vector", "order", "nearest"])
 
     ordered = written(entries.mapInArrow(order, "rep long, asks boolean, vector binary, order binary, nearest array<int>"), "ann-orders")
-    index = ordered.select("rep", "vector", "order", F.explode(F.slice("nearest", 1, POSTED)).alias("pivot"))
-    queries = ordered.filter("asks").select("rep", "vector", "order", F.explode(F.slice("nearest", 1, reading.files)).alias("pivot"))
-    blocks = lambda counts, size: F.array(*(F.lit(-(-counts.get(p, 0) // size)) for p in range(len(pivots))))
     sizes = lambda posts: {p: c for p, c in posts.groupBy("pivot").count().collect()}  # noqa: E731  a row for each pivot
-    index_blocks, query_blocks = blocks(sizes(index), BLOCK), blocks(sizes(queries), QUERY_BLOCK)
+    index = ordered.select("rep", "vector", "order", F.lit(0.0).alias("share"), F.explode("nearest").alias("pivot"))
+    posted = sizes(index)
+    in_file = np.array([posted.get(p, 0) for p in range(len(pivots))])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampled = Sample(shared.value[1], shared.value[0])
+        for batch in batches:
+            if batch.num_rows:
+                x = unit(np.frombuffer(b"".join(batch.column("vector").to_pylist()), held).reshape(batch.num_rows, -1).astype(np.float64))
+                order = np.frombuffer(b"".join(batch.column("order").to_pylist()), number).reshape(batch.num_rows, kept)
+                files, share = read_by(reading, sampled, x, order, in_file, FLOOR * k * POSTED)
+                lists = [order[i, : files[i]].astype(np.int32).tolist() for i in range(len(x))]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("vector"), batch.column("order"), pa.array(share), pa.array(lists, pa.list_(pa.int32()))], names=["rep", "vector", "order", "share", "files"])
+
+    asked = written(ordered.filter("asks").select("rep", "vector", "order").mapInArrow(read, "rep long, vector binary, order binary, share double, files array<int>"), "ann-queries")
+    queries = asked.select("rep", "vector", "order", "share", F.explode("files").alias("pivot"))
+    blocks = lambda counts, size: F.array(*(F.lit(-(-counts.get(p, 0) // size)) for p in range(len(pivots))))
+    index_blocks, query_blocks = blocks(posted, BLOCK), blocks(sizes(queries), QUERY_BLOCK)
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     each = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
     n_index, n_query = F.get(index_blocks, F.col("pivot")), F.get(query_blocks, F.col("pivot"))
-    left = index.select("pivot", own(n_index).alias("block"), each(n_query).alias("asked"), F.struct(F.lit(False).alias("asks"), "rep", "vector", "order").alias("m"))
-    right = queries.filter(n_index > 0).select("pivot", each(n_index).alias("block"), own(n_query).alias("asked"), F.struct(F.lit(True).alias("asks"), "rep", "vector", "order").alias("m"))
+    left = index.select("pivot", own(n_index).alias("block"), each(n_query).alias("asked"), F.struct(F.lit(False).alias("asks"), "rep", "vector", "order", "share").alias("m"))
+    right = queries.filter(n_index > 0).select("pivot", each(n_index).alias("block"), own(n_query).alias("asked"), F.struct(F.lit(True).alias("asks"), "rep", "vector", "order", "share").alias("m"))
     cells = left.unionByName(right).groupBy("pivot", "block", "asked").agg(F.collect_list("m").alias("members"))
-    n_pivots, share = len(pivots), reading.share
+    n_pivots = len(pivots)
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +266,7 @@ def _of_length(entries: DataFrame, n: int, k: int, held: str) -> DataFrame:
                 if asks.all() or not asks.any():
                     continue
                 x = unit(np.frombuffer(b"".join(m.field("vector").to_pylist()), held).reshape(len(m), -1).astype(np.float64))
+                share = m.field("share").to_numpy()[asks]
                 places = places_of(np.frombuffer(b"".join(m.field("order").to_pylist()), number).reshape(len(m), kept), n_pivots)
                 found = [(np.full(len(rows), reps[asks][j]), reps[~asks][rows], cosine) for j, rows, cosine in search_block(places[~asks], x[~asks], reps[~asks], places[asks], x[asks], k, share)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["rep", "near", "score"])
