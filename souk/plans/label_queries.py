@@ -1,9 +1,10 @@
-"""Gold labels against placements, seeded draws of lines, misspelt brand terms."""
+"""Gold labels against placements, seeded draws of lines, misspelt brand terms, rules of tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from souk.operators import constraints as C
 from souk.operators import fuzzy as Z
 from souk.operators import labels as L
 from souk.operators import sampling as A
@@ -66,3 +67,35 @@ def brand_typos(spark, sf_dir):
     titles = rows.select("brand_id", "title").distinct().withColumn("tokens", F.split("title", " +"))
     found = Z.without_misspelt(titles, terms, ["brand_id"])
     return rows.join(found, ["brand_id", "title"]).select("p_partkey", "title", F.array_join("tokens", " ").alias("rest"))
+
+
+RULES = [
+    C.Key("one name a type and size", "models", ("id",), columns=("name", "type", "size")),
+    C.Reference("lines have a model", "sales", ("order_id", "place"), columns=("model",), to="small", there=("id",)),
+    C.Bounds("sizes of the scale", "models", ("id",), column="size", low=2, high=49),
+    C.Values("types of the taxonomy", "models", ("id",), column="type", allowed=("STANDARD", "SMALL", "MEDIUM", "LARGE")),
+    C.Filled("lines have a name", "models", ("id",), column="line"),
+    C.Acyclic("parents end", "models", ("id",), ident="id", parent="parent"),
+    C.Exclusive("no line is a color", "models", ("id",), column="line", others="small", other="color"),
+]
+
+_MODELS = """models AS (SELECT p_partkey AS id, p_name AS name, p_type AS type, p_size AS size, CASE WHEN p_partkey % 53 = 0 THEN ' ' WHEN p_partkey % 59 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', -1) END AS line, split_part(p_name, ' ', 1) AS color,
+  CASE WHEN p_partkey % 97 = 0 THEN p_partkey * 2 WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent FROM part), small AS (SELECT * FROM models WHERE size <= 45)"""
+
+
+@q(f"""WITH RECURSIVE {_MODELS}, ended AS (SELECT id FROM models m WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM models o WHERE o.id = m.parent) UNION SELECT m.id FROM models m JOIN ended e ON m.parent = e.id)
+SELECT 'one name a type and size' AS rule, 'models' AS table_name, CAST(id AS VARCHAR) AS row, n || ' rows' AS detail FROM models JOIN (SELECT name, type, size, count(*) AS n FROM models GROUP BY ALL HAVING n > 1) USING (name, type, size)
+UNION ALL SELECT 'lines have a model', 'sales', l_orderkey || ':' || l_linenumber, CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM small)
+UNION ALL SELECT 'sizes of the scale', 'models', CAST(id AS VARCHAR), CAST(size AS VARCHAR) FROM models WHERE size < 2 OR size > 49
+UNION ALL SELECT 'types of the taxonomy', 'models', CAST(id AS VARCHAR), type FROM models WHERE type NOT IN ('STANDARD', 'SMALL', 'MEDIUM', 'LARGE')
+UNION ALL SELECT 'lines have a name', 'models', CAST(id AS VARCHAR), 'line' FROM models WHERE trim(line) = ''
+UNION ALL SELECT 'parents end', 'models', CAST(id AS VARCHAR), CAST(parent AS VARCHAR) FROM models WHERE id NOT IN (SELECT id FROM ended)
+UNION ALL SELECT 'no line is a color', 'models', CAST(id AS VARCHAR), lower(line) FROM models WHERE lower(line) IN (SELECT lower(color) FROM small)""")
+def rule_violations(spark, sf_dir):
+    """Every row of the tables that breaks one of the rules."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    line = F.when(n % 53 == 0, " ").when(n % 59 == 0, F.upper(F.substring_index(name, " ", 1))).otherwise(F.substring_index(name, " ", -1))
+    parent = F.when(n % 97 == 0, n * 2).when(n > 1, F.floor(n / 2))
+    models = table(spark, sf_dir, "part").select(n.alias("id"), name.alias("name"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), line.alias("line"), F.substring_index(name, " ", 1).alias("color"), parent.cast("long").alias("parent"))
+    sales = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("model"))
+    return C.violations({"models": models, "sales": sales, "small": models.filter("size <= 45")}, RULES)
