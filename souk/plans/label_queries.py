@@ -1,4 +1,5 @@
-"""Gold labels against placements, seeded draws of lines, misspelt brand terms, rules of tables."""
+"""Gold labels against placements, seeded draws of lines, misspelt brand terms, rules of
+tables, versions of a schema."""
 
 from __future__ import annotations
 
@@ -7,10 +8,12 @@ from pyspark.sql import functions as F
 from souk.operators import constraints as C
 from souk.operators import fuzzy as Z
 from souk.operators import labels as L
+from souk.operators import reconcile as N
 from souk.operators import sampling as A
 from souk.plans.market_queries import register
 from souk.plans.sql import over, up
 from souk.sources.listings import LISTINGS_SQL, listings, table
+from souk.sources.scratch import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +102,20 @@ def rule_violations(spark, sf_dir):
     models = table(spark, sf_dir, "part").select(n.alias("id"), name.alias("name"), F.col("p_type").alias("type"), F.col("p_size").alias("size"), line.alias("line"), F.substring_index(name, " ", 1).alias("color"), parent.cast("long").alias("parent"))
     sales = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("model"))
     return C.violations({"models": models, "sales": sales, "small": models.filter("size <= 45")}, RULES)
+
+
+FIELDS = [N.Field("id", "bigint", required=True), N.Field("name", "string"), N.Field("size", "int", default="0"), N.Field("fragile", "boolean", default="false")]
+
+
+@q("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' ELSE 'v3' END AS version, p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 3 = 1 AND p_partkey % 10 = 1 THEN NULL ELSE p_size END AS size,
+  p_partkey % 3 = 2 AND p_partkey % 2 = 0 AS fragile, CASE WHEN p_partkey % 3 = 1 AND p_partkey % 10 = 1 THEN 'size: bad int: ' || p_size || ' cm' ELSE '' END AS faults FROM part""")
+def schema_versions(spark, sf_dir):
+    """Parts as three versions of a table wrote them, read as one: ids that were text, sizes
+    that came later and as text, a flag that came last, a column that nobody knows."""
+    n, parts = F.col("p_partkey"), table(spark, sf_dir, "part")
+    old = parts.filter(n % 3 == 0).select(n.cast("string").alias("ID"), F.col("p_name").alias("name"))
+    size = F.when(n % 10 == 1, F.concat(F.col("p_size").cast("string"), F.lit(" cm"))).otherwise(F.col("p_size").cast("string"))
+    middle = parts.filter(n % 3 == 1).select(n.cast("int").alias("id"), F.col("p_name").alias("name"), size.alias("size"))
+    new = parts.filter(n % 3 == 2).select(n.alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("size"), (n % 2 == 0).alias("fragile"), F.col("p_brand").alias("unknown"))
+    rows = N.united({"v1": stored(old, "v1"), "v2": stored(middle, "v2"), "v3": stored(new, "v3")}, FIELDS)
+    return rows.withColumn("faults", F.array_join(F.transform("faults", lambda f: F.concat(f["column"], F.lit(": "), f["message"])), ", "))
