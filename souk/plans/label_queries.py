@@ -13,7 +13,8 @@ from souk.operators import sampling as A
 from souk.plans.market_queries import register
 from souk.plans.sql import over, up
 from souk.sources.listings import LISTINGS_SQL, listings, table
-from souk.sources.scratch import stored
+from souk.sources.scratch import path, stored
+from souk.sources.sheet import SheetSink
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -119,3 +120,17 @@ def schema_versions(spark, sf_dir):
     new = parts.filter(n % 3 == 2).select(n.alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("bigint").alias("size"), (n % 2 == 0).alias("fragile"), F.col("p_brand").alias("unknown"))
     rows = N.united({"v1": stored(old, "v1"), "v2": stored(middle, "v2"), "v3": stored(new, "v3")}, FIELDS)
     return rows.withColumn("faults", F.array_join(F.transform("faults", lambda f: F.concat(f["column"], F.lit(": "), f["message"])), ", "))
+
+
+@q("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN ', "' || p_brand || '"' WHEN 1 THEN chr(13) || chr(10) || p_brand ELSE '' END AS title, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS type FROM part""")
+def sheet_round_trip(spark, sf_dir):
+    """Parts written as sheets, in two writes, and read back."""
+    n = F.col("p_partkey")
+    more = F.when(n % 4 == 0, F.concat(F.lit(', "'), "p_brand", F.lit('"'))).when(n % 4 == 1, F.concat(F.lit("\r\n"), "p_brand")).otherwise("")
+    rows = table(spark, sf_dir, "part").select(n.cast("string").alias("id"), F.concat("p_name", more).alias("title"), F.when(n % 5 > 0, F.col("p_type")).alias("type"))
+    where = path(spark, "sheets")
+    spark.dataSource.register(SheetSink)
+    for part in (rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")):
+        part.repartition(3).write.format("souk_sheet").option("path", where).mode("append").save()
+    cells = N.sheets(spark, f"{where}/*.csv")
+    return cells.select(*(F.try_element_at("cells", F.lit(c)).alias(c) for c in ("id", "title", "type")))
