@@ -10,6 +10,7 @@ from souk.sources.listings import table
 from souk.sources.paged import PagedSource
 from souk.sources.scratch import path
 from souk.streaming import changes as X
+from souk.streaming import keyed as K
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +58,20 @@ def stream_price_changes_parts(spark, sf_dir):
     return out.withColumn("before", F.when(~F.isnan("before"), F.col("before")))
 
 
+@q("""WITH o AS (
+  SELECT user_id, ts, value, lag(value) OVER w AS prior, lag(ts) OVER w AS seen, max(ts) OVER () AS most
+  FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, value))
+SELECT user_id, CAST(ts AS VARCHAR) AS ts, value, CASE WHEN ts - seen < INTERVAL 2 DAY THEN prior END AS before FROM o
+WHERE (seen IS NULL OR ts - seen >= INTERVAL 2 DAY OR value <> prior)
+  AND ts <= date_trunc('millisecond', most) - INTERVAL 2 HOUR""")
+def stream_price_changes_late(spark, sf_dir):
+    """Every row up to 90 minutes late, two hours allowed; keys silent for two days are
+    forgotten. What the watermark hasn't passed at the end still waits."""
+    where = folder(spark)
+    changes = K.price_changes(K.arriving(spark, sf_dir, f"{where}/events"), "user_id", "ts", "value", forget_days=2)
+    return K.drained(changes, where)[0]
+
+
 @q("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def stream_upsert_buckets(spark, sf_dir):
     where = folder(spark)
