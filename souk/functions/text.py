@@ -24,25 +24,37 @@ def clean(value: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit(""))
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Letters of the alphabets with accents, and the one letter each stands for once it is
-    decomposed, its marks dropped and its case folded."""
-    pairs = []
-    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
-        bare = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).casefold()
-        if len(bare) == 1 and bare != chr(code):
-            pairs.append((chr(code), bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _marks() -> str:
+    """The characters that combine with the one before, as a class of ranges."""
+    found = [c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]
+    starts = [c for c, before in zip(found, [None, *found], strict=False) if before is None or c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], None], strict=True) if after is None or c != after - 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]+"
 
 
-_ACCENTED, _PLAIN = _plain_letters()
+_MARKS = _marks()
+
+
+def decomposed(value: Column) -> Column:
+    """Compatibility decomposition (NFKD), by the Unicode library that Spark ships."""
+    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), value, F.lit(True))
+    return F.when(value.rlike(r"[^\x00-\x7F]"), made).otherwise(value)
+
+
+def casefolded(value: Column) -> Column:
+    """Full case folding."""
+    made = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), value, F.lit(True))
+    return F.when(value.rlike(r"[^\x00-\x7F]"), made).otherwise(F.lower(value))
 
 
 def fold(value: Column) -> Column:
-    """Case folded; accents, combining marks and apostrophes dropped. Ligatures, which
-    stand for several letters, stay (but ß)."""
-    folded = F.translate(F.lower(value), _ACCENTED + "'’", _PLAIN)
-    return F.replace(F.regexp_replace(folded, r"\p{M}+", ""), F.lit("ß"), F.lit("ss"))
+    """Decomposed (NFKD), combining marks dropped, case folded, apostrophes dropped."""
+    return F.translate(casefolded(F.regexp_replace(decomposed(value), _MARKS, "")), "'’", "")
+
+
+def brand_key(value: Column) -> Column:
+    """A brand's name as compared: decomposed, a to z and digits alone."""
+    return F.regexp_replace(F.lower(F.regexp_replace(decomposed(value), r"[^\x00-\x7F]+", "")), "[^a-z0-9]+", "")
 
 
 #: Plurals: a fixed table of (ending, letters to cut, letters to add, least length); the first that fits.
