@@ -37,9 +37,15 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def _edits(b: Column, least: float, off: int) -> Column:
+def _most(n: Column, least: float) -> Column:
+    """Letters at most of a string whose ratio with one of ``n`` letters is ``least``."""
+    return F.floor(n * F.lit((200.0 - least) / least) + 1e-9).cast("int")
+
+
+def _edits(b: Column, least: float, off: int | None) -> Column:
     """Edits at most, for a term of ``b`` letters and a text of up to ``off`` more."""
-    return F.floor((2 * b + off) * F.lit((100.0 - least) / 100.0) + 1e-9).cast("int")
+    together = b + _most(b, least) if off is None else 2 * b + off
+    return F.floor(together * F.lit((100.0 - least) / 100.0) + 1e-9).cast("int")
 
 
 def _segment(b: Column, parts: Column, i: Column) -> tuple[Column, Column]:
@@ -53,7 +59,7 @@ def _upto(low: Column, high: Column) -> Column:
     return F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
 
-def term_keys(term: Column, least: float, off: int) -> Column:
+def term_keys(term: Column, least: float, off: int | None) -> Column:
     b = F.length(term)
     parts = _edits(b, least, off) + 1
 
@@ -64,7 +70,7 @@ def term_keys(term: Column, least: float, off: int) -> Column:
     return F.transform(F.sequence(F.lit(0), parts - 1), key)
 
 
-def text_keys(text: Column, least: float, off: int) -> Column:
+def text_keys(text: Column, least: float, off: int | None) -> Column:
     """Of every term's length that fits, every segment, every place it may have moved to."""
     a = F.length(text)
 
@@ -77,14 +83,16 @@ def text_keys(text: Column, least: float, off: int) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), edits), of_segment))
 
-    return F.array_distinct(F.flatten(F.transform(_upto(F.greatest(a - off, F.lit(1)), a + off), of_length)))
+    low = F.ceil(a * F.lit(least / (200.0 - least)) - 1e-9).cast("int") if off is None else a - off
+    high = _most(a, least) if off is None else a + off
+    return F.array_distinct(F.flatten(F.transform(_upto(F.greatest(low, F.lit(1)), high), of_length)))
 
 
-def similar(texts: DataFrame, terms: DataFrame, by: list[str], least: float = BRAND_SCORE, off: int = LETTERS) -> DataFrame:
-    """by, text, term, score of every pair of a group whose lengths differ by ``off`` at most and
-    whose ratio is ``least`` or more. ``texts``: by, text. ``terms``: by, term. A term of which
+def similar(texts: DataFrame, terms: DataFrame, by: list[str], least: float = BRAND_SCORE, off: int | None = LETTERS) -> DataFrame:
+    """by, text, term, score of every pair of a group whose lengths differ by ``off`` at most (None:
+    by what the ratio allows) and whose ratio is ``least`` or more. ``texts``: by, text. ``terms``: by, term. A term of which
     D + 1 segments can't be cut is too short for ``least`` and raises an error."""
-    if math.floor((2 + off) * (100.0 - least) / 100.0 + 1e-9) + 1 > 1:
+    if (least < 70 if off is None else math.floor((2 + off) * (100.0 - least) / 100.0 + 1e-9) + 1 > 1):
         raise ValueError("so low a ratio leaves short terms without a segment")
     left = texts.filter("text <> ''").select(*by, "text").distinct().withColumn("_k", F.explode(text_keys(F.col("text"), least, off)))
     right = terms.filter("term <> ''").select(*by, "term").distinct().withColumn("_k", F.explode(term_keys(F.col("term"), least, off)))
@@ -95,7 +103,9 @@ def similar(texts: DataFrame, terms: DataFrame, by: list[str], least: float = BR
             scores = [ratio(a, b) for a, b in zip(batch.column("text").to_pylist(), batch.column("term").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return met.mapInArrow(work, T.StructType([*met.schema.fields, T.StructField("score", T.DoubleType())])).filter((F.col("score") >= least) & (F.abs(F.length("text") - F.length("term")) <= off))
+    scored = met.mapInArrow(work, T.StructType([*met.schema.fields, T.StructField("score", T.DoubleType())]))
+    near = scored.filter(F.col("score") >= least)
+    return near if off is None else near.filter(F.abs(F.length("text") - F.length("term")) <= off)
 
 
 def without_misspelt(titles: DataFrame, terms: DataFrame, by: list[str], least: float = BRAND_SCORE, off: int = LETTERS) -> DataFrame:

@@ -155,7 +155,19 @@ def relist_chains(spark, sf_dir):
     return G.relists(listings(spark, sf_dir).withColumn("group_id", F.col("model")))
 
 
-@q()
+#: Pairs of keys to their longest common subsequence, a letter of the first at a time; of a row
+#: of lengths each is the largest up to its place.
+_COMMON = """steps AS (
+  SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda x: 0) AS r FROM pairs
+  UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_max(list_transform(range(1, j + 1),
+    lambda k: greatest(r[k], CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN r[k - 1] + 1 ELSE 0 END)))) FROM steps WHERE i < len(a)),
+ratios AS (SELECT a, b, 200.0::DOUBLE * r[-1] / (len(a) + len(b)) AS score FROM steps WHERE i = len(a))"""
+
+
+@q(f"""WITH RECURSIVE raws AS (SELECT n_name AS raw FROM nation UNION SELECT n_name || 'S' FROM nation UNION SELECT r_name FROM region),
+ra AS (SELECT raw, regexp_replace(lower(raw), '[^a-z0-9]+', '', 'g') AS a FROM raws), kb AS (SELECT DISTINCT n_name AS known, regexp_replace(lower(n_name), '[^a-z0-9]+', '', 'g') AS b FROM nation),
+pairs AS (SELECT DISTINCT a, b FROM ra, kb WHERE a <> '' AND b <> ''), {_COMMON}
+SELECT raw, known, score FROM ra JOIN ratios USING (a) JOIN kb USING (b) WHERE score >= 92 QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, known DESC) = 1""")
 def brand_fuzzy_match(spark, sf_dir):
     names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("known"))
     raw = names.select(F.col("known").alias("raw")).unionByName(names.select(F.concat("known", F.lit("S")).alias("raw"))).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("raw")))
