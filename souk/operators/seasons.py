@@ -129,3 +129,38 @@ def forecast(profile: DataFrame, sold: DataFrame, target: int, at: datetime = AS
     level = profile.filter("kind = 'type'").groupBy("key").agg(F.max(F.when(F.col("calendar") == at.month, F.col("si_abs"))).alias("now"), F.max(F.when(F.col("calendar") == target, F.col("si_abs"))).alias("then"))
     recent = sold.filter(F.col("sold_at") >= moment(at) - F.expr("INTERVAL '30' DAY")).groupBy(F.col("product_type").alias("key")).agg(F.count("*").alias("sold_30d"))
     return level.join(recent, "key").select("key", "sold_30d", half_up(F.col("sold_30d") * ratio(F.col("then"), F.nullif("now", F.lit(0))), 2).alias("forecast"))
+
+
+def packed(profile: DataFrame, season_rows: DataFrame) -> DataFrame:
+    """A row a key: kind, key, months (array of month, sales, si_abs, si_rel in their order),
+    seasons (map of name to sales and index, null where there are too few), sales_year."""
+    point = F.struct(F.col("calendar").alias("month"), "sales", "si_abs", "si_rel")
+    months = profile.groupBy("kind", "key").agg(F.array_sort(F.collect_list(point)).alias("months"), F.sum("sales").alias("sales_year"))  # twelve a key
+    of = F.when(F.col("index").isNotNull(), F.struct("sales", "index"))
+    by = season_rows.groupBy("kind", "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("season", of.alias("of"))))).alias("seasons"))  # four a key
+    return months.join(by, ["kind", "key"], "left").select("kind", "key", "months", "seasons", "sales_year")
+
+
+def by_month(months: Column) -> Column:
+    """Twelve indices, January first, from an array of month and si_abs; a month that is missing
+    or out of range is null, and of a repeated one the last that isn't null counts."""
+
+    def of(month: Column) -> Column:
+        hits = F.filter(months, lambda p: (p["month"] == month) & p["si_abs"].isNotNull())
+        return F.try_element_at(hits, F.lit(-1))["si_abs"].cast("double")
+
+    return F.transform(F.sequence(F.lit(1), F.lit(12)), of)
+
+
+def overlay(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
+    """To each distinct (product_type, department) the profile of that type's department, else of
+    the type: product_type, department, profile_key, levels. ``profiles``: kind, key (type, or
+    type and department joined by a colon), months."""
+    rows = wanted.select("product_type", "department").distinct().filter("product_type is not null")
+    known = profiles.select("kind", F.col("key").alias("profile_key"), by_month(F.col("months")).alias("levels"))
+    own = known.filter("kind = 'department'").select("profile_key", F.col("levels").alias("_own"))
+    whole = known.filter("kind = 'type'").select(F.col("profile_key").alias("product_type"), F.col("levels").alias("_whole"))
+    key = F.when(F.col("department").isNotNull(), F.concat_ws(":", "product_type", "department"))
+    both = rows.withColumn("profile_key", key).join(own, "profile_key", "left").join(whole, "product_type", "left")
+    found = both.filter("_own is not null or _whole is not null")
+    return found.select("product_type", "department", F.when(F.col("_own").isNotNull(), F.col("profile_key")).otherwise(F.col("product_type")).alias("profile_key"), F.coalesce("_own", "_whole").alias("levels"))

@@ -14,7 +14,7 @@ from souk.operators import quality as Q
 from souk.operators import schema as J
 from souk.operators import titles as P
 from souk.plans.market_queries import register
-from souk.plans.sql import PARTS, mined, ngrams, query, support, up, words
+from souk.plans.sql import mined, ngrams, query, support, up, words
 from souk.sources.listings import listings, table
 from souk.sources.scratch import stored
 
@@ -100,7 +100,12 @@ def ngram_support(spark, sf_dir):
     return G.phrase_support(titles(spark, sf_dir))
 
 
-@q(f"{_TITLES_SQL}, {support('support')} SELECT s.* FROM support s {PARTS}")
+@q(f"""{_TITLES_SQL}, {support('support')},
+sides AS MATERIALIZED (SELECT *, CASE WHEN n_words > 1 THEN array_to_string(string_split(phrase, ' ')[: n_words - 1], ' ') END AS head,
+  CASE WHEN n_words > 1 THEN array_to_string(string_split(phrase, ' ')[2 :], ' ') END AS tail FROM support)
+SELECT s.product_type, s.phrase, s.listings, s.sellers, s.n_words FROM sides s
+LEFT JOIN support h ON h.product_type = s.product_type AND h.phrase = s.head LEFT JOIN support t ON t.product_type = s.product_type AND t.phrase = s.tail
+WHERE s.sellers >= coalesce(0.5 * h.sellers, 0) AND s.sellers >= coalesce(0.5 * t.sellers, 0)""")
 def phrase_collocation(spark, sf_dir):
     return G.collocations(G.phrase_support(titles(spark, sf_dir)))
 
