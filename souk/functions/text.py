@@ -35,21 +35,31 @@ def _marks() -> str:
 _MARKS = _marks()
 
 
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
+def _decomposed(value: Column) -> Column:
+    return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), value, F.lit(True))
+
+
+def _casefolded(value: Column) -> Column:
+    return F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), value, F.lit(True))
+
+
 def decomposed(value: Column) -> Column:
     """Compatibility decomposition (NFKD), by the Unicode library that Spark ships."""
-    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), value, F.lit(True))
-    return F.when(value.rlike(r"[^\x00-\x7F]"), made).otherwise(value)
+    return F.when(value.rlike(_BEYOND_ASCII), _decomposed(value)).otherwise(value)
 
 
 def casefolded(value: Column) -> Column:
     """Full case folding."""
-    made = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), value, F.lit(True))
-    return F.when(value.rlike(r"[^\x00-\x7F]"), made).otherwise(F.lower(value))
+    return F.when(value.rlike(_BEYOND_ASCII), _casefolded(value)).otherwise(F.lower(value))
 
 
 def fold(value: Column) -> Column:
     """Decomposed (NFKD), combining marks dropped, case folded, apostrophes dropped."""
-    return F.translate(casefolded(F.regexp_replace(decomposed(value), _MARKS, "")), "'’", "")
+    whole = F.translate(_casefolded(F.regexp_replace(_decomposed(value), _MARKS, "")), "'’", "")
+    return F.when(value.rlike(_BEYOND_ASCII), whole).otherwise(F.translate(F.lower(value), "'", ""))
 
 
 def brand_key(value: Column) -> Column:
@@ -73,12 +83,13 @@ def singular(token: Column) -> Column:
 def words(value: Column) -> Column:
     """Folded, singular tokens. Of a decimal with nothing behind its point the whole number
     stays; a word with one digit at its end is two tokens."""
-    def parts(surface: Column) -> Column:
-        norm = F.replace(fold(surface), F.lit("-"), F.lit(""))
+    def parts(norm: Column) -> Column:
         split = F.array(F.regexp_extract(norm, r"^([a-z]{3,})(\d)$", 1), F.regexp_extract(norm, r"^([a-z]{3,})(\d)$", 2))
         return F.when(norm.contains("."), F.array(F.regexp_replace(norm, r"\.0+$", ""))).when(norm.rlike(r"^[a-z]{3,}\d$"), split).otherwise(F.array(singular(norm)))
 
-    return F.flatten(F.transform(F.regexp_extract_all(value, F.lit(WORD), F.lit(0)), parts))
+    # folded in a step of its own: a lambda computes its argument anew at each mention
+    folded = F.transform(F.regexp_extract_all(value, F.lit(WORD), F.lit(0)), lambda t: F.replace(fold(t), F.lit("-"), F.lit("")))
+    return F.flatten(F.transform(folded, parts))
 
 
 def ngrams(tokens: Column, longest: int = 3) -> Column:
