@@ -45,10 +45,9 @@ def quality_flags(spark, sf_dir):
     return Q.price_flags(listings(spark, sf_dir), "brand_id", "line", k=2).select("listing_id", "price_outlier", "dear")
 
 
-@q(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(rep|replica|1:1|unauthorized|dhgate)\b') OR regexp_matches(text, '(?i)\binspired\s+by\b') AS replica, regexp_matches(text, '(?i)\b(bundle|lot of|x\s?\d+|set of|read description)\b') AS lot FROM documents WHERE lang = 'en'""")
+@q(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(rep|replica|1:1|unauthorized|dhgate)\b') OR regexp_matches(text, '(?i)\binspired\s+by\b') AS replica, regexp_matches(text, '(?i)\b(bundle|lot of|x\s?\d+|set of|read description)\b') AS lot FROM documents""")
 def replica_regex(spark, sf_dir):
-    """English documents; ``replica_regex_all`` has all."""
-    return _marks(table(spark, sf_dir, "documents").filter("lang = 'en'"))
+    return _marks(table(spark, sf_dir, "documents"))
 
 
 @q(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(rep|replica|1:1|unauthorized|dhgate)\b') OR regexp_matches(text, '(?i)\binspired\s+by\b') AS replica, regexp_matches(text, '(?i)\b(bundle|lot of|x\s?\d+|set of|read description)\b') AS lot FROM documents""")
@@ -74,11 +73,10 @@ def titles(spark, sf_dir):
 
 
 @q(r"""SELECT doc_id, CAST(len(w) AS INT) AS n_words, w[1] AS first, array_to_string(list_sort(list_distinct(w)), ' ') AS vocabulary FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z]+'),
-  lambda t: CASE WHEN length(t) < 4 THEN t WHEN length(t) >= 5 AND t LIKE '%ies' THEN t[:-4] || 'y' WHEN regexp_matches(t, '(sses|shes|ches|xes)$') THEN t[:-3] WHEN t LIKE '%s' AND NOT regexp_matches(t, '(ss|us|is|os)$') THEN t[:-2] ELSE t END) AS w FROM documents WHERE lang = 'en')""")
+  lambda t: CASE WHEN length(t) < 4 THEN t WHEN length(t) >= 5 AND t LIKE '%ies' THEN t[:-4] || 'y' WHEN regexp_matches(t, '(sses|shes|ches|xes)$') THEN t[:-3] WHEN t LIKE '%s' AND NOT regexp_matches(t, '(ss|us|is|os)$') THEN t[:-2] ELSE t END) AS w FROM documents)""")
 def tokenize_words(spark, sf_dir):
-    """Runs of a to z in English documents; ``tokenize_words_all`` has all words of all."""
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    tokens = docs.select("doc_id", F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), T.singular).alias("w"))
+    """Runs of a to z; ``tokenize_words_all`` has all words, by the operators' tokenizer."""
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), T.singular).alias("w"))
     return _vocabulary(tokens)
 
 
