@@ -15,7 +15,8 @@ from souk.operators import scopes as S
 from souk.operators import seasons as N
 from souk.plans.market_queries import _COUNTS, _DORMANT, _MEDIANS, _RANKED, POLICY, register, scoped
 from souk.plans.sql import NOW, PRICE, even, over, quantile, query, sold, up
-from souk.sources.listings import listings, table
+from souk.sources.listings import kept, listings, table
+from souk.sources.scratch import stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -238,11 +239,12 @@ _RESOLD = f"{_DORMANT}, {_RANKED}, {_OFFERS}"
 
 
 def offers(spark, sf_dir):
-    rows = listings(spark, sf_dir)
+    rows = kept(spark, sf_dir)
     by_type = S.fan_out(rows).filter("level = 'type'")
-    price = S.pricing(by_type).filter("bucket = 'all'").select("scope_key", "n", "p50")
-    score = R.liquidity(R.candidates(by_type), POLICY).select("scope_key", "liquidity_score")
-    dormant = S.wholesalers(rows, stock=5).select("brand_id", "seller", F.lit(True).alias("dormant"))
+    # a row for each type or seller: small tables, which the optimizer can send to the listings
+    price = stored(S.pricing(by_type).filter("bucket = 'all'").select("scope_key", "n", "p50"), "prices")
+    score = stored(R.liquidity(R.candidates(by_type), POLICY).select("scope_key", "liquidity_score"), "scores")
+    dormant = stored(S.wholesalers(rows, stock=5).select("brand_id", "seller", F.lit(True).alias("dormant")), "dormant")
     active = by_type.filter("status = 'active'").select("listing_id", "scope_key", "brand_id", "seller", F.col("price").cast("decimal(14,4)").alias("buy"))
     joined = active.join(dormant, ["brand_id", "seller"], "left").join(price, "scope_key", "left").join(score, "scope_key", "left")
     return joined.select("listing_id", "buy", (F.col("brand_id") % 5 == 0).alias("abroad"), F.col("dormant").isNotNull().alias("wholesale"), F.when(F.col("n") > 0, F.col("n")).alias("n"), "p50", "liquidity_score", F.col("p50").cast("decimal(14,4)").alias("expected"), D.money("9.5").alias("shipping"))
@@ -276,9 +278,9 @@ _TREND_COLUMNS = "level, scope_key, sold_30d, sold_90d, active_now, median_price
 
 
 def trend_rows(spark, sf_dir):
-    rows = scoped(spark, sf_dir)
-    score = R.liquidity(R.candidates(rows), POLICY).select("scope_key", "liquidity_score")
-    return S.window_counts(rows).join(S.medians(rows).drop("level"), "scope_key").join(score, "scope_key", "left")
+    rows = stored(R.candidates(S.fan_out(kept(spark, sf_dir))), "candidates")
+    score = R.liquidity(rows, POLICY).select("scope_key", "liquidity_score")
+    return rows.drop("sales_per_month").join(score, "scope_key", "left")
 
 
 @q(query(f"SELECT {_TREND_COLUMNS} FROM trends WHERE level = 'model' AND lower(scope_key) LIKE '%widget%' AND sold_90d >= 1", more=f"{_RANKED}, {_TRENDS}"))
