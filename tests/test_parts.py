@@ -66,3 +66,14 @@ def test_a_setting_of_the_session_stays(spark):
         assert spark.conf.get(scratch._CLEANUP) == "false"
     finally:
         spark.conf.unset(scratch._CLEANUP)
+
+
+def test_the_first_batch_is_written_by_all_tasks(spark, sf_dir, monkeypatch):
+    """Before, one task wrote each batch; a batch is still taken whole."""
+    taken = []
+    monkeypatch.setattr(Q.S.Scan, "step", lambda scan, batch, number: taken.append((number, batch.select(F.input_file_name()).distinct().count(), batch.count())))
+    rows = R.market(spark, sf_dir)[0]
+    monkeypatch.setattr(R, "market", lambda *_: (rows.repartition(3), None))
+    Q.scanned(spark, sf_dir)
+    assert [n for n, _, _ in taken] == [0, 1, 2] and all(files > 1 for _, files, _ in taken)
+    assert [n for _, _, n in taken] == [b.count() for b in Q.observations(rows)]
